@@ -183,7 +183,7 @@ def weigh(tables: list[tuple[np.ndarray, np.ndarray]]) -> Model:
         logs = np.zeros((len(q), 1))
         for level in range(8):
             node = q[:, 1 << level : 2 << level]
-            logs = np.stack((logs + np.log10(1 - node), logs + np.log10(node)), -1).reshape(len(q), -1)
+            logs = np.stack((logs + np.log10(1 - node), logs + np.log10(node)), -1).reshape(len(q), 2 << level)
         base.append(sum(map(len, rows)))
         rows.append(logs.astype(np.float32))
     return Model(contexts, np.concatenate(rows), base)

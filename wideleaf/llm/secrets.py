@@ -20,6 +20,7 @@ import lzma
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -61,31 +62,43 @@ def _substituted(text: str, pattern: re.Pattern, decode) -> tuple[str, list[int]
     """``text`` with the matches decoded, and for each character the start and end it comes from."""
     out, starts, ends, last, changed = [], [], [], 0, False
     for m in pattern.finditer(text):
-        if (plain := decode(m[0])) is None:
+        if (made := decode(m[0])) is None:
             continue
         changed = True
+        plain, widths = made
         out += [text[last : m.start()], plain]
-        starts += [*range(last, m.start()), *[m.start()] * len(plain)]
-        ends += [*range(last + 1, m.start() + 1), *[m.end()] * len(plain)]
+        cuts = list(accumulate(widths, initial=m.start()))
+        starts += [*range(last, m.start()), *cuts[:-1]]
+        ends += [*range(last + 1, m.start() + 1), *cuts[1:]]
         last = m.end()
     if not changed:
         return None
     return "".join([*out, text[last:]]), [*starts, *range(last, len(text))], [*ends, *range(last + 1, len(text) + 1)]
 
 
-def _from_url(run: str) -> str | None:
+def _from_url(run: str) -> tuple[str, list[int]] | None:
+    """The decoded text, and of how many characters of the run each of its characters is made."""
     try:
-        return bytes.fromhex(run.replace("%", "")).decode("utf-8")
+        plain = bytes.fromhex(run.replace("%", "")).decode("utf-8")
     except UnicodeDecodeError:
         return None
+    return plain, [3 * len(c.encode()) for c in plain]
 
 
-def _from_escapes(run: str) -> str | None:
-    units = b"".join(chr(c).encode("utf-16-le", "surrogatepass") for a, b, x in _ESCAPED.findall(run) if (c := int(a or b or x, 16)) < 0x110000)
+def _from_escapes(run: str) -> tuple[str, list[int]] | None:
+    units = [(chr(c), len(m[0])) for m in _ESCAPED.finditer(run) if (c := int(m[1] or m[2] or m[3], 16)) < 0x110000]
     try:
-        return units.decode("utf-16-le")
+        plain = "".join(c for c, _ in units).encode("utf-16-le", "surrogatepass").decode("utf-16-le")
     except UnicodeDecodeError:
         return None
+    widths = [w for _, w in units]
+    k = 0
+    for c in plain:  # two escapes of a surrogate pair are one character
+        if ord(c) > 0xFFFF and 0xD800 <= ord(units[k][0]) < 0xDC00:
+            widths[k : k + 2] = [sum(widths[k : k + 2])]
+            del units[k]
+        k += 1
+    return plain, widths
 
 
 def _unpack(data: bytes, most: int) -> bytes | None:
