@@ -14,10 +14,14 @@ from pyspark.sql import functions as F
 
 from wideleaf.errors import InvalidArgument
 
-OUTPUT = ["fam_order", "family", "qualifier", F.desc("ts"), "ord"]
 DEEPEST = 20
 
 
+def output_order() -> list:
+    """How the cells of a row are put out."""
+    return ["fam_order", "family", "qualifier", F.desc("ts"), "ord"]
+
+
 class Filter:
     """Base of all filters."""
 
@@ -265,7 +269,7 @@ def _run(cells: DataFrame, f: Filter, sunk: list[DataFrame]) -> DataFrame:
         w = Window.partitionBy("row_key", "family", "qualifier").orderBy(F.desc("ts"), "ord")
         return cells.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= f.n).drop("_n")
     if isinstance(f, CellsPerRow | CellsPerRowOffset):
-        n = F.row_number().over(Window.partitionBy("row_key").orderBy(*OUTPUT))
+        n = F.row_number().over(Window.partitionBy("row_key").orderBy(*output_order()))
         return cells.withColumn("_n", n).where(F.col("_n") <= f.n if isinstance(f, CellsPerRow) else F.col("_n") > f.n).drop("_n")
     if isinstance(f, Label):
         return cells.withColumn("labels", F.array(F.lit(f.name)))

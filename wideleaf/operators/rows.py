@@ -25,7 +25,7 @@ def read_rows(cells: DataFrame, *, keys: list[bytes] = (), row_ranges: list[rang
 
 def in_order(cells: DataFrame, *, reversed: bool = False) -> DataFrame:
     """Cells in the order in which they are read; rows from the last key on, if ``reversed``."""
-    return cells.orderBy(F.desc("row_key") if reversed else F.asc("row_key"), *rowfilters.OUTPUT)
+    return cells.orderBy(F.desc("row_key") if reversed else F.asc("row_key"), *rowfilters.output_order())
 
 
 def row_sizes(cells: DataFrame) -> DataFrame:
