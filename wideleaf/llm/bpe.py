@@ -40,7 +40,7 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
 class Transducer:
     """Encodes pieces by merge ranks.  ``max_states`` bounds the memory: beyond it, states are forgotten and remade."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 200_000):
         self.ranks = ranks
         self.token = {r: b for b, r in ranks.items()}
         #: The tokens as a trie: (node * 256 + byte) to node, the token that ends at a node, whether more follows it.
@@ -63,9 +63,9 @@ class Transducer:
         self._forget()
 
     def _forget(self) -> None:
-        #: A state: for each open position, the trie node of the bytes since, and the last token before it (-1: none).
-        #: The last open position is the current one; its token is the last of the encoding so far.
-        self.keys = [((0, -1),)]
+        #: A state: for each open position, the trie node of the bytes since, and the last token before it (-1: none), as
+        #: one number.  The last open position is the current one; its token is the last of the encoding so far.
+        self.keys = [(0,)]
         self.number = {self.keys[0]: 0}
         self.last, self.size = [-1], [0]
         self.step: dict[int, int] = {}
@@ -105,7 +105,7 @@ class Transducer:
         merge before either is merged within its own side.  Of equal ranks, the leftmost merges first."""
         if (known := self._pairs.get(a << 32 | b)) is not None:
             return known
-        if len(self._pairs) > 1_000_000:
+        if len(self._pairs) > 300_000:
             self._pairs.clear()
         if self._edges(b) is None:
             self._pairs[a << 32 | b] = False
@@ -131,17 +131,18 @@ class Transducer:
 
     def _make(self, state: int, byte: int) -> int:
         live, lead = [], -1
-        for node, last in self.keys[state]:
-            node = self.child.get(node << 8 | byte)
+        for packed in self.keys[state]:
+            last = (packed & 0xFFFFFFFF) - 1
+            node = self.child.get(packed >> 32 << 8 | byte)
             if node is None:
                 continue
             if lead < 0 and (t := self.ending[node]) >= 0 and (self.follows(last, t) if last >= 0 else self._edges(t)):
                 lead = t
             if self.more[node]:
-                live.append((node, last))
+                live.append(node << 32 | last + 1)
         if lead < 0:
             raise ValueError("these ranks hold no token for a byte, or no proper merges")
-        key = (*live, (0, lead))
+        key = (*live, lead + 1)
         number = self.number.get(key)
         if number is None:
             self.number[key] = number = len(self.keys)
@@ -185,8 +186,8 @@ class Transducer:
                 waiting.append(state)
             # Back from each open position by whole tokens; all agree from the last cut that they share.
             shared = None
-            for node, _ in self.keys[state]:
-                at, cuts = len(waiting) - self._depth(node), []
+            for packed in self.keys[state]:
+                at, cuts = len(waiting) - self._depth(packed >> 32), []
                 while at > 0:
                     cuts.append(at)
                     at -= self.size[waiting[at - 1]]
@@ -245,31 +246,34 @@ class Utf8Machine:
 class Codec:
     """Texts to ids and back."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 80_000):
         self.transducer, self.pattern = Transducer(ranks), regex.compile(pattern)
         self.splits = pattern == GPT2_LIKE
         self.bytes_of = {str(r): b for b, r in ranks.items()}
-        codec = self
-
         class Memo(dict):
-            """The ids of frequent pieces as decimals; bounded."""
+            """The ids of pieces as decimals.  When full, it becomes the older half, and what is asked for again moves over:
+            so frequent pieces stay, and twice ``memo`` entries bound it."""
+
+            def __init__(self, encode):
+                super().__init__()
+                self.encode, self.older = encode, {}
 
             def __missing__(self, piece: str) -> str:
                 if len(self) >= memo:
+                    self.older = dict(self)
                     self.clear()
-                self[piece] = ids = " ".join(map(str, codec.transducer.encode_piece(piece.encode("utf-8", "surrogatepass"))))
+                if (ids := self.older.get(piece)) is None:
+                    ids = self.encode(piece)
+                self[piece] = ids
                 return ids
 
-        class Words(dict):
-            """The same for what stands between single blanks, each with the blank before it."""
-
-            def __missing__(self, word: str) -> str:
-                if len(self) >= memo:
-                    self.clear()
-                self[word] = ids = " ".join(map(codec.memo.__getitem__, codec.pattern.findall(" " + word)))
-                return ids
+            def forget(self) -> None:
+                self.clear()
+                self.older = {}
 
-        self.memo, self.words = Memo(), Words()
+        self.memo = Memo(lambda piece: " ".join(map(str, self.transducer.encode_piece(piece.encode("utf-8", "surrogatepass")))))
+        #: The same for what stands between single blanks, each with the blank before it.
+        self.words = Memo(lambda word: " ".join(map(self.memo.__getitem__, self.pattern.findall(" " + word))))
 
     def encode_decimal(self, text: str) -> str:
         """The ids in decimal, joined by one space.
@@ -344,6 +348,8 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, *, with_ids: bool = F
                 arrays.append(pa.array([x.to_pylist() for x in kept], pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names)
+        own.memo.forget()  # an idle worker should not hold them
+        own.words.forget()
 
     df = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return map_batches(df, run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
