@@ -67,6 +67,8 @@ def bind(b: B.Binder, node: tuple) -> tuple[Column, T.DataType | None]:
     if name not in _ORDERED and set(given) - {"distinct"}:
         raise InvalidArgument(f"{name} doesn't take {', '.join(set(given) - {'distinct'})}")
     vs = [b.bind(a) for a in args]
+    if b.tolerant:
+        vs = [b.new(v.col if v.err is None else F.when(B.any_of(v.err), None).otherwise(v.col), v.type, None, v.const) for v in vs]
     if name == "COUNT" and not vs:
         return F.count(F.lit(1)), B.INT
     low, high = {"STRING_AGG": (1, 2), "HLL_COUNT.INIT": (1, 2), "CORR": (2, 2), "COVAR_POP": (2, 2), "COVAR_SAMP": (2, 2)}.get(name, (1, 1))

@@ -303,9 +303,9 @@ def like_pattern(pattern: str) -> str:
 class Binder:
     """Binds trees over a frame.  ``columns`` are the names in scope; ``known`` maps whole trees to values (groups, aggregates)."""
 
-    def __init__(self, frame: DataFrame, columns: dict[str, Value], params: dict[str, Value], *, known: dict | None = None, aliases: dict | None = None, row: str | None = None):
+    def __init__(self, frame: DataFrame, columns: dict[str, Value], params: dict[str, Value], *, known: dict | None = None, aliases: dict | None = None, row: str | None = None, tolerant: bool = False):
         self.frame, self.columns, self.params = frame, columns, params
-        self.known, self.aliases, self.row = known or {}, aliases or {}, row
+        self.known, self.aliases, self.row, self.tolerant = known or {}, aliases or {}, row, tolerant
 
     def new(self, col: Column, type: T.DataType | None = None, err: Column | None = None, const=_NONE) -> Value:
         return Value(col, type, err, const, self.frame)

@@ -486,7 +486,7 @@ def operator(b: B.Binder, symbol: str, vs: list[Value]) -> Value:
         out = -v.col if B.is_float(v.type) else F.try_subtract(F.lit(0).cast("long"), v.col)
         return b.new(out, v.type, B.any_of(*errs, None if B.is_float(v.type) else B.unless_null(out, v.col)))
     if isinstance(vs[0].type, T.BinaryType):
-        raise Unimplemented(f"{symbol} of bytes")
+        return _byte_operator(b, symbol, vs)
     x = [B.assign(v, INT).col for v in vs]
     if symbol == "u~":
         return b.new(F.bitwise_not(x[0]), INT, errs[0])
@@ -496,6 +496,17 @@ def operator(b: B.Binder, symbol: str, vs: list[Value]) -> Value:
     return b.new({"&": x[0].bitwiseAND, "|": x[0].bitwiseOR, "^": x[0].bitwiseXOR}[symbol](x[1]), INT, B.any_of(*errs))
 
 
+def _byte_operator(b: B.Binder, symbol: str, vs: list[Value]) -> Value:
+    x, errs = vs[0].col, [v.err for v in vs]
+    if symbol == "u~":
+        return b.new(codecs.invert(x), BYTES, errs[0])
+    if symbol in ("<<", ">>"):
+        n = B.assign(vs[1], INT).col
+        return b.new(codecs.shift_bytes(x, n if symbol == "<<" else F.try_subtract(F.lit(0).cast("long"), n)), BYTES, B.any_of(*errs, n < 0))
+    y = B.assign(vs[1], BYTES).col
+    return b.new(codecs.bits(symbol)(x, y), BYTES, B.any_of(*errs, F.octet_length(x) != F.octet_length(y)))
+
+
 # -- arrays and maps -----------------------------------------------------------------------------------------------------------
 
 fn("ARRAY_LENGTH", "A")(cols(F.array_size))

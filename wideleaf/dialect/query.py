@@ -16,6 +16,7 @@ from wideleaf.dialect import aggregates, parser
 from wideleaf.dialect import binder as B
 from wideleaf.dialect.parser import Query, Source
 from wideleaf.errors import InvalidArgument, NotFound, Unimplemented
+from wideleaf.functions import keys
 from wideleaf.operators import ranges as R
 from wideleaf.operators import temporal
 from wideleaf.sources import cells as C
@@ -27,12 +28,13 @@ _MAP_KEY = B.BYTES
 @dataclass(frozen=True)
 class Table:
     """Cells, families in order of creation with their kinds (``bytes``, ``int64`` or ``hll``), and the fields of the key: names with
-    ``STRING``, ``BYTES`` or ``INT64`` (big-endian), between literal delimiters."""
+    ``STRING``, ``BYTES`` or ``INT64`` (big-endian), between literal delimiters; or, if ``ordered``, in the order-preserving code."""
 
     cells: DataFrame
     families: dict[str, str]
     key_fields: tuple[tuple[str, str], ...] = ()
     delimiter: bytes = b"#"
+    ordered: bool = False
 
 
 @dataclass
@@ -42,6 +44,7 @@ class Catalog:
     tables: dict[str, Table] = field(default_factory=dict)
     relations: dict[str, DataFrame] = field(default_factory=dict)
     views: dict[str, str] = field(default_factory=dict)
+    keyed: set[str] = field(default_factory=set)  # relations in which _key is a column to be seen
 
 
 @dataclass
@@ -101,8 +104,8 @@ def _params_of(q: Query) -> set[str]:
 
 
 class _Planner:
-    def __init__(self, spark: SparkSession, catalog: Catalog, params: dict, depth: int = 0):
-        self.spark, self.catalog, self.params, self.depth = spark, catalog, params, depth
+    def __init__(self, spark: SparkSession, catalog: Catalog, params: dict, depth: int = 0, *, tolerant: bool = False):
+        self.spark, self.catalog, self.params, self.depth, self.tolerant = spark, catalog, params, depth, tolerant
 
     # sources ------------------------------------------------------------------------------------------------------------------
 
@@ -125,7 +128,7 @@ class _Planner:
         narrowed = df.where(R.predicate(self.key_ranges(q), "_key")) if q.where else df
         frame = narrowed.select(F.col("_key").alias("_ord"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(df.columns)])
         named = [(c, B.Value(F.col(f"c{i}"), frame=frame)) for i, c in enumerate(df.columns)]
-        return _Relation(frame, [(n, v) for n, v in named if n != "_key"], q.source.alias or q.source.name, hidden={n: v for n, v in named if n == "_key"})
+        return _Relation(frame, [(n, v) for n, v in named if n != "_key" or q.source.name in self.catalog.keyed], q.source.alias or q.source.name, hidden={n: v for n, v in named if n == "_key"})
 
     def view(self, sql: str, q: Query) -> _Relation:
         if q.source.args:
@@ -175,7 +178,7 @@ class _Planner:
         columns = [("_key", B.Value(F.col("_ord"), B.BYTES))]
         parts = F.split(F.decode(F.col("_ord"), "ISO-8859-1"), "\\Q" + t.delimiter.decode("latin-1") + "\\E", -1)
         for i, (name, kind) in enumerate(t.key_fields):
-            columns.append((name, _key_field(parts, i, kind, len(t.key_fields))))
+            columns.append((name, _ordered_field(t, i, kind) if t.ordered else _key_field(parts, i, kind, len(t.key_fields))))
         for i, (name, kind) in enumerate(t.families.items()):
             value = B.INT if kind == "int64" else B.BYTES
             inner = T.ArrayType(T.StructType([entry[0], T.StructField("value", value)])) if history else value
@@ -280,12 +283,13 @@ class _Planner:
         if q.source is not None and src.row:
             q = _unqualified(q, src.row, scope)
             src.known = {_plain(k, src.row): v for k, v in src.known.items()}
-        b = B.Binder(src.frame, scope, self.params, known=src.known, row=src.row)
+        b = B.Binder(src.frame, scope, self.params, known=src.known, row=src.row, tolerant=self.tolerant)
         frame = src.frame
         if q.where is not None:
             if aggregates.find(q.where, []):
                 raise InvalidArgument("WHERE doesn't take aggregates")
-            frame = frame.where(b.boolean(b.bind(q.where)).strict())
+            kept = b.boolean(b.bind(q.where))
+            frame = self.without_errors(frame, [kept]).where(kept.strict())
         items = self.items(q, src, b)
         calls = aggregates.find(tuple(x for x, _ in items), [])
         if q.having is not None:
@@ -299,6 +303,7 @@ class _Planner:
             aliased = B.Binder(frame, {}, self.params, known=b.known, aliases={n: v for n, v in outputs if n})
             frame = frame.where(aliased.boolean(aliased.bind(q.having)).strict())
         self.check_order(q, outputs)
+        frame = self.without_errors(frame, [v for _, v in outputs])
         done = frame.select("_ord", *[v.strict().alias(f"c{i}") for i, (_, v) in enumerate(outputs)])
         if q.distinct:
             for _, v in outputs:
@@ -309,6 +314,11 @@ class _Planner:
             done = done.limit(0) if n == 0 else (done.orderBy("_ord").offset(skip) if skip else done.orderBy("_ord")).limit(n)
         return _Relation(done, [(n, B.Value(F.col(f"c{i}"), v.type)) for i, (n, v) in enumerate(outputs)], history=src.history)
 
+    def without_errors(self, frame: DataFrame, vs: list[B.Value]) -> DataFrame:
+        """In a view, the rows without errors."""
+        err = B.any_of(*[v.err for v in vs])
+        return frame if err is None or not self.tolerant else frame.where(~err)
+
     def items(self, q: Query, src: _Relation, b: B.Binder) -> list[tuple[tuple, str]]:
         out = []
         for x, alias in q.items:
@@ -352,6 +362,7 @@ class _Planner:
         keys = [b.bind(g) for g in groups]
         for k in keys:
             _groupable(k)
+        frame = self.without_errors(frame, keys)
         known, measures = {}, [F.min("_ord").alias("_ord")]
         for i, (g, v) in enumerate(zip(groups, keys)):
             known[g] = B.Value(F.col(f"g{i}"), v.type)
@@ -408,6 +419,12 @@ def _key_field(parts: Column, i: int, kind: str, n: int) -> B.Value:
     return B.Value(F.when(F.is_valid_utf8(text), text), B.STRING, bad | ~F.is_valid_utf8(text))
 
 
+def _ordered_field(t: Table, i: int, kind: str) -> B.Value:
+    fields = keys.decoder([k for _, k in t.key_fields])(F.col("_ord"))
+    v = F.timestamp_micros(fields[f"f{i}"]) if kind == "TIMESTAMP" else fields[f"f{i}"]
+    return B.Value(v, B.spark_type((kind,)), ~fields["ok"])
+
+
 def _history_kind(t: T.DataType) -> str | None:
     def is_history(a) -> bool:
         return isinstance(a, T.ArrayType) and isinstance(a.elementType, T.StructType) and a.elementType.names == ["timestamp", "value"]

@@ -190,3 +190,38 @@ def json_function(kind: str, steps: list):
         return pd.Series([one(t) for t in s], dtype="object")
 
     return udf
+
+
+def bits(symbol: str):
+    """A UDF of two BYTES of one length, bit by bit; null for other lengths."""
+    f = {"&": np.bitwise_and, "|": np.bitwise_or, "^": np.bitwise_xor}[symbol]
+
+    def one(a, b):
+        if a is None or b is None or len(a) != len(b):
+            return None
+        return f(np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)).tobytes()
+
+    @F.pandas_udf(BYTES)
+    def udf(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([one(*r) for r in zip(a, b)], dtype="object")
+
+    return udf
+
+
+@F.pandas_udf(BYTES)
+def invert(a: pd.Series) -> pd.Series:
+    return a.map(lambda x: None if x is None else np.invert(np.frombuffer(x, np.uint8)).tobytes())
+
+
+@F.pandas_udf(BYTES)
+def shift_bytes(a: pd.Series, left: pd.Series) -> pd.Series:
+    """BYTES as one number, moved left (right for negative amounts) within its length."""
+
+    def one(x, n):
+        if x is None or pd.isna(n):
+            return None
+        n, whole = max(-8 * len(x), min(int(n), 8 * len(x))), int.from_bytes(x, "big")
+        moved = whole << n if n >= 0 else whole >> -n
+        return (moved & ((1 << 8 * len(x)) - 1)).to_bytes(len(x), "big")
+
+    return pd.Series([one(*r) for r in zip(a, left)], dtype="object")

@@ -42,6 +42,18 @@ def aggregate(cells: DataFrame, added: DataFrame, how: str) -> DataFrame:
     return cells.select(*key, "n").unionByName(added.select(*key, "n")).groupBy(*key).agg(merge("n").alias("n"))
 
 
+def add_to_sketches(cells: DataFrame, added: DataFrame, precision: int = 14) -> DataFrame:
+    """Cells of a sketch family after input values (``value`` BINARY) were added to them."""
+    key = ["row_key", "family", "qualifier", "ts"]
+    return merge_sketches(cells, added.groupBy(*key).agg(F.hll_sketch_agg("value", F.lit(precision)).alias("value")))
+
+
+def merge_sketches(cells: DataFrame, added: DataFrame) -> DataFrame:
+    """Cells of a sketch family after sketches were merged into them."""
+    key = ["row_key", "family", "qualifier", "ts"]
+    return cells.select(*key, "value").unionByName(added.select(*key, "value")).groupBy(*key).agg(F.hll_union_agg("value", F.lit(True)).alias("value"))
+
+
 def big_endian(n):
     """Eight bytes, most significant first."""
     return F.unhex(F.lpad(F.hex(n), 16, "0"))
