@@ -309,7 +309,6 @@ def codec(data: bytes, pattern: str) -> Codec:
     key = hashlib.sha256(data + pattern.encode()).hexdigest()
     if key not in _codecs:
         _codecs.clear()
-        gc.disable()  # the memos hold millions of objects without cycles; walking them again and again costs more than the work
         _codecs[key] = Codec(parse_ranks(data), pattern)
     return _codecs[key]
 
@@ -327,6 +326,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, *, with_ids: bool = F
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(shared.value, pattern)
+        gc.disable()  # the memos hold millions of objects without cycles; walking them again and again costs more than the work
         for batch in batches:
             counts, hashes, decoded, kept = [], [], [], []
             for text in batch.column("text").to_pylist():
@@ -350,6 +350,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, *, with_ids: bool = F
             yield pa.RecordBatch.from_arrays(arrays, names)
         own.memo.forget()  # an idle worker should not hold them
         own.words.forget()
+        gc.enable()
 
     df = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return map_batches(df, run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -213,15 +213,28 @@ def _finder(shared, first: bool):
     return run
 
 
-def find(docs: DataFrame, benchmark: DataFrame, *, columns: list[str] | None = None, window: int = WINDOW, block_words: int = 500_000) -> DataFrame:
-    """Per document: ``row`` (its columns, or those named), ``text``, hit word ``spans``, ``items`` found and ``n_words``."""
+_Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def _chain(first: _Batches, second: _Batches) -> _Batches:
+    return lambda batches: second(first(batches))
+
+
+def find(docs: DataFrame, benchmark: DataFrame, *, columns: list[str] | None = None, window: int = WINDOW, block_words: int = 500_000, then: tuple[_Batches, str] | None = None) -> DataFrame:
+    """Per document: ``row`` (its columns, or those named), ``text``, hit word ``spans``, ``items`` found and ``n_words``.
+
+    ``then`` (a function on these batches, and what it returns beside ``row``) follows in the same Python worker, so a
+    task needs one of them, not two."""
     spark = docs.sparkSession
     blocks = automata(benchmark, window, block_words)
     df = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns or docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
     kind = df.schema["row"].dataType.simpleString()
     for k, automaton in enumerate(blocks):
-        df = map_batches(df, _finder(spark.sparkContext.broadcast(automaton), not k), f"row {kind}, text string, {_FOUND}")
-        if k + 1 < len(blocks):
+        finder, last = _finder(spark.sparkContext.broadcast(automaton), not k), k + 1 == len(blocks)
+        if last and then:
+            return map_batches(df, _chain(finder, then[0]), f"row {kind}, {then[1]}")
+        df = map_batches(df, finder, f"row {kind}, text string, {_FOUND}")
+        if not last:
             df = spool(df, "decontaminate")
     return df
 
@@ -249,7 +262,6 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 def clean(docs: DataFrame, benchmark: DataFrame, *, max_span: int = 0, max_coverage: float = 0.5, **options) -> DataFrame:
     """``docs`` without test items: hit spans of more than ``max_span`` words are cut out of ``text``; a document
     of which more than ``max_coverage`` of the words are hit goes whole.  ``n_chars``, if there, follows the text."""
-    found = find(docs, benchmark, **options)
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,8 +273,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, max_span: int = 0, max_cover
                 texts.append(cut(text, long) if long and keep[-1] else text)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"]).filter(pa.array(keep, pa.bool_()))
 
-    kind = found.schema["row"].dataType.simpleString()
-    done = map_batches(found, rewrite, f"row {kind}, text string")
+    done = find(docs, benchmark, then=(rewrite, "text string"), **options)
     columns = [F.col("text") if c == "text" else F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
     return done.select(*columns)
 
