@@ -5,7 +5,8 @@
    at least one; a document goes on to a child for each chosen position and its value there.  Buckets of at
    most ``SMALL`` nodes end; at ``DEEPEST`` all end, and larger ones are dealt in pairs of blocks.  A pair at the limit
    shares each choice with its similarity, so a run finds it with SIMILAR ** depth at least; runs repeat until
-   the target recall is met at the greatest depth.
+   the target recall is met at the greatest depth.  In the larger buckets of the first level, each node is first held
+   against the bucket's smallest; buckets whose nodes are all connected by these links have nothing to add and end.
 3. Bucket mates whose sketches agree in ``NEAR`` of their positions are joined to coarse components.
 4. Inside coarse components, the Jaccard similarity is taken exactly from the shingle sets, block against block: every
    similar pair counts as a link; classes are the components of these links.  Pairs are never emitted, only counts
@@ -99,7 +100,7 @@ def _chosen(path: np.ndarray) -> np.ndarray:
 
 
 def _splitting(level: int):
-    """Children of (node, path, sketch); at the root, of each run."""
+    """Children of (node, path, sketch, label), which keep the label; at the root, of each run, of (node, sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roots = _mix(np.arange(1, RUNS + 1, dtype=_U64) * _U64(0xE7037ED1A0B428DB))
@@ -119,11 +120,22 @@ def _splitting(level: int):
                 row, i = np.nonzero(_chosen(own))
                 path = _mix(own[row] ^ (values[row, i].astype(_U64) + (i.astype(_U64) << _U64(32))))
                 node = nodes[row]
-            yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(node)], ["path", "node"])
+            arrays = {"path": pa.array(path.view(np.int64)), "node": pa.array(node)}
+            if level:
+                arrays["label"] = pa.array(batch.column("label").to_numpy()[row])
+            yield pa.RecordBatch.from_arrays(list(arrays.values()), list(arrays))
 
     return run
 
 
+def _leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of (node, sketch, first, first_sketch) between nodes whose sketches are near."""
+    for batch in batches:
+        mine, first = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, POSITIONS) for c in ("sketch", "first_sketch"))
+        near = pa.array((mine == first).sum(1) >= NEAR * POSITIONS)
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("first")], ["a", "b"]).filter(near)
+
+
 def _local_components(same: np.ndarray) -> np.ndarray:
     """For each row of a symmetric boolean matrix the smallest row it is connected with."""
     label = np.arange(len(same))
@@ -217,16 +229,31 @@ def components(links: DataFrame, most: int = 40) -> DataFrame:
 
 def _coarse(nodes: DataFrame) -> DataFrame:
     """(node, label): components of nodes that chosen paths bring together and whose sketches are near."""
-    level = spool(map_batches(nodes.select("node", "sketch"), _splitting(0), "path long, node long"), "paths")
-    parts, spent = [], [level]
-    for depth in range(1, DEEPEST + 1):
-        sizes = level.groupBy("path").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("n > 1")
-        ended = sizes if depth == DEEPEST else sizes.where(F.col("n") <= SMALL)
+    def sizes_of(level: DataFrame, *more) -> DataFrame:
+        return level.groupBy("path").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), *more)
+
+    def ending(level: DataFrame, sizes: DataFrame) -> DataFrame:
         # Many buckets, of all runs, have the same members; one of them will do.
-        parts.append(level.join(ended.groupBy("n", "x", "y").agg(F.min("path").alias("path")).drop("x", "y"), "path").select("path", "n", "node"))
+        return level.join(sizes.groupBy("n", "x", "y").agg(F.min("path").alias("path")).drop("x", "y"), "path").select("path", "n", "node")
+
+    sketches = nodes.select("node", "sketch")
+    level = spool(map_batches(sketches, _splitting(0), "path long, node long"), "paths")
+    sizes = sizes_of(level, F.min("node").alias("first")).where("n > 1")
+    parts = [ending(level, sizes.where(F.col("n") <= SMALL))]
+    # A node is the first of few buckets, for it has few paths; so its sketch is copied few times.
+    firsts = spool(sizes.where(F.col("n") > SMALL).select("path", "first").join(sketches.select(F.col("node").alias("first"), F.col("sketch").alias("first_sketch")), "first"), "firsts")
+    led = level.join(firsts, "path").where("node != first").join(sketches, "node")
+    early = components(map_batches(led.select("node", "sketch", "first", "first_sketch"), _leading, "a long, b long"))
+    marked = level.join(firsts.select("path"), "path", "left_semi").join(early, "node", "left")
+    level_0, level = level, spool(marked.select("path", "node", F.coalesce("label", "node").alias("label")), "paths")
+    spent = [level_0, firsts, level]
+    for depth in range(1, DEEPEST + 1):
+        sizes = sizes_of(level, F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+        if depth > 1:
+            parts.append(ending(level, sizes if depth == DEEPEST else sizes.where(F.col("n") <= SMALL)))
         if depth < DEEPEST:
-            large = level.join(sizes.where(F.col("n") > SMALL).select("path"), "path", "left_semi").join(nodes.select("node", "sketch"), "node")
-            level = spool(map_batches(large, _splitting(depth), "path long, node long"), "paths")
+            large = level.join(sizes.where(F.col("n") > SMALL).select("path"), "path", "left_semi").join(sketches, "node")
+            level = spool(map_batches(large, _splitting(depth), "path long, node long, label long"), "paths")
             spent.append(level)
     buckets = parts[0]
     for p in parts[1:]:
@@ -234,7 +261,7 @@ def _coarse(nodes: DataFrame) -> DataFrame:
     buckets = spool(buckets, "buckets")
     dealt = _in_blocks(buckets.withColumnRenamed("path", "bucket"), "bucket", 2 * BLOCK).join(nodes.select("node", "sketch"), "node")
     links = map_batches(dealt.select("path", "node", "sketch").repartition("path").sortWithinPartitions("path"), _bucket_links, "a long, b long")
-    found = components(links)
+    found = components(links.union(early))
     for x in (*spent, buckets):
         unspool(x)
     return found
