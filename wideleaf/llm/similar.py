@@ -232,7 +232,8 @@ def _coarse(nodes: DataFrame) -> DataFrame:
     for p in parts[1:]:
         buckets = buckets.union(p)
     buckets = spool(buckets, "buckets")
-    dealt = _in_blocks(buckets.withColumnRenamed("path", "bucket"), "bucket", 2 * BLOCK).join(nodes.select("node", "sketch"), "node")
+    # Sketches are joined before rows are copied to their pairs of blocks, so the join has a row per bucket and node.
+    dealt = _in_blocks(buckets.join(nodes.select("node", "sketch"), "node").withColumnRenamed("path", "bucket"), "bucket", 2 * BLOCK)
     links = map_batches(dealt.select("path", "node", "sketch").repartition("path").sortWithinPartitions("path"), _bucket_links, "a long, b long")
     found = components(links)
     for x in (*spent, buckets):
