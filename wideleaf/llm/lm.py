@@ -3,12 +3,14 @@
 Training counts come from all documents whose crc32(doc_id as text) mod 10 is not 0.  Every byte (A-Z lowered, one
 end mark 0xFF) is cut into eight binary decisions; each of the 255 decision nodes has its own context tree over the
 bytes before, to depth ``DEPTH``.  A node of a tree estimates by Krichevsky and Trofimov; its weighted probability
-is half its own estimate's and half the product of its children's, so all depths are mixed.  Contexts that hold at
-least 1/``SHARE`` of the training bytes are nodes, the others of one parent share a leaf: so each depth has
-at most ``SHARE`` nodes whatever the corpus, which bounds what is collected and broadcast (see ``SIZE_BOUND``).
+is half its own estimate's and half the product of its children's, so all depths are mixed.  Every context of the
+training bytes is a node, however rare.  The nodes are a table: those that share the last two bytes of their contexts
+are weighed in one task, and only the sums by last byte (at most 256 * 255 rows) reach the driver.  Held-out documents
+add what they hold with a count of 0, so the table has a probability for every context and byte that is scored.
 
-Words as frequent as 1/``WORDS`` of the tokens (at most ``WORDS`` of them) are looked up in each task; all others are
-joined with the whole vocabulary, so the base counts are exact.
+Words as frequent as 1/``WORDS`` of the tokens (at most ``WORDS`` of them) and contexts with a byte as frequent as
+1/``GRAMS`` of the bytes (at most ``GRAMS``) are looked up in each task; all others are joined with the whole table,
+so both scores are exact.
 
 Defined results: a null or empty text is one end token; a null doc_id counts as the text '' (held out); equal rows
 are scored separately and alike; without training rows N and V are 0, the base is that of V = 0 and all estimates
@@ -19,7 +21,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,10 +31,8 @@ from pyspark.sql import functions as F
 
 from wideleaf.llm.common import LOWER_ASCII, map_batches, spool, unspool
 
-DEPTH, SHARE, WORDS, LONG_WORD = 4, 8192, 1 << 17, 64
+DEPTH, GRAMS, WORDS, LONG_WORD = 4, 1 << 22, 1 << 17, 64
 END = 255
-#: Bytes of the broadcast tables at most: rows of 256 floats, and the step from depth 3 to 4.
-SIZE_BOUND = (1 + 256 + 3 * SHARE) * 256 * 8
 
 
 def held_out(doc_id: Column) -> Column:
@@ -56,6 +56,11 @@ def _grams(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return code[keep], starts
 
 
+def _nearest_first(code: np.ndarray) -> np.ndarray:
+    """Codes of ``_grams`` with the context turned round, the byte before highest: so each shorter context is a prefix."""
+    return (code >> np.uint64(8)).astype(np.uint32).byteswap().astype(np.uint64) << np.uint64(8) | code & np.uint64(255)
+
+
 def _counting(most: int = 1_000_000):
     def merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         every, at = np.unique(np.concatenate(codes), return_inverse=True)
@@ -69,16 +74,19 @@ def _counting(most: int = 1_000_000):
         words: Counter = Counter()
         codes, counts, held = [], [], 0
         for batch in batches:
-            data = [_bytes(t) for t in batch.column("text").to_pylist()]
-            if not data:
-                continue
-            for d in data:
+            texts: dict[bool, list[bytes]] = {False: [], True: []}
+            for t, out in zip(batch.column("text").to_pylist(), batch.column("held_out").to_pylist()):
+                texts[out].append(_bytes(t))
+            for d in texts[False]:
                 words.update(d.split())
-            words[b""] += len(data)
-            code, n = np.unique(_grams(data)[0], return_counts=True)
-            codes.append(code)
-            counts.append(n)
-            held += len(code)
+            if texts[False]:
+                words[b""] += len(texts[False])
+            for out, data in texts.items():
+                if data:
+                    code, n = np.unique(_nearest_first(_grams(data)[0]), return_counts=True)
+                    codes.append(code)
+                    counts.append(n * (not out))
+                    held += len(code)
             if held > 4 * most:
                 code, n = merged(codes, counts)
                 codes, counts, held = [code], [n], len(code)
@@ -155,7 +163,9 @@ class Model:
 
 
 def weigh(tables: list[tuple[np.ndarray, np.ndarray]]) -> Model:
-    """The model of the counts: for each depth, sorted contexts and their (contexts, 256) counts."""
+    """The model of counts that fit in memory: for each depth, sorted contexts and their (contexts, 256) counts.
+
+    ``weighed`` is the same over a table of any size; tests hold it against this."""
     decided = [_decisions(counts) for _, counts in tables]
     contexts = [c for c, _ in tables]
     parents = [None, *(np.searchsorted(contexts[d - 1], contexts[d] & np.uint64((1 << 8 * (d - 1)) - 1)) for d in range(1, DEPTH + 1))]
@@ -189,31 +199,139 @@ def weigh(tables: list[tuple[np.ndarray, np.ndarray]]) -> Model:
     return Model(contexts, np.concatenate(rows), base)
 
 
-def _tree(counts: DataFrame) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
-    """The counted contexts of each depth that hold their share: at most SHARE * 256 rows a depth reach the driver."""
-    grams = counts.where("code is not null")
-    total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    levels = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.col("code").bitwiseAND((1 << 8 * (d + 1)) - 1).alias("key")) for d in range(DEPTH + 1)]))
-    nodes = grams.select(levels.alias("x"), "n").groupBy("x.d", "x.key").agg(F.sum("n").alias("n")).withColumn("context", F.shiftrightunsigned("key", 8))
-    big = nodes.groupBy("d", "context").agg(F.sum("n").alias("all")).where(F.col("all") * SHARE >= total).drop("all")
-    found = nodes.join(big, ["d", "context"], "left_semi").select("d", "key", "n").toArrow()
-    d, key, n = (found.column(k).to_numpy() for k in range(3))
-    out = []
-    for depth in range(DEPTH + 1):
-        k, own = key[d == depth].astype(np.uint64), n[d == depth]
-        contexts, at = np.unique(k >> np.uint64(8), return_inverse=True)
-        if depth == 0 and not len(contexts):
-            contexts = np.zeros(1, np.uint64)
-        table = np.zeros((len(contexts), 256))
-        table[at, (k & np.uint64(255)).astype(int)] = own
-        out.append((contexts, table))
-    return out, total
+@dataclass
+class _Level:
+    """One of the eight decisions over sorted codes: ``at[d]`` leads from the nodes of depth d + 1 to those of depth d (``at[4]``
+    from the codes to the nodes of depth 4); ``n[d]`` and ``weighted[d]`` are by node, ``keys`` those of depth 2."""
+
+    bit: np.ndarray
+    keys: np.ndarray
+    at: dict[int, np.ndarray]
+    n: dict[int, np.ndarray]
+    evidence: dict[int, np.ndarray]
+    weighted: dict[int, np.ndarray]
+
+
+def _levels(code: np.ndarray, n: np.ndarray) -> Iterator[_Level]:
+    """The weights from depth 4 to 2 of all codes of some two-byte contexts."""
+    for level in range(8):
+        bit = (code >> np.uint64(7 - level) & np.uint64(1)).astype(np.int64)
+        prefix = (code & np.uint64(255)) >> np.uint64(8 - level)
+        contexts, keys, at, counts, evidence, weighted = code >> np.uint64(8), None, {}, {}, {}, {}
+        for d in (4, 3, 2):
+            keys, first, at[d] = np.unique(contexts << np.uint64(level) | prefix, return_index=True, return_inverse=True)
+            if d == 4:
+                counts[d] = np.bincount(2 * at[d] + bit, n, 2 * len(keys)).reshape(-1, 2)
+            else:
+                counts[d] = np.stack([np.bincount(at[d], counts[d + 1][:, k], len(keys)) for k in (0, 1)], -1)
+            evidence[d] = _evidence(counts[d])
+            weighted[d] = evidence[d] if d == DEPTH else np.logaddexp(evidence[d], np.bincount(at[d], weighted[d + 1], len(keys))) - math.log(2)
+            contexts, prefix = contexts[first] >> np.uint64(8), prefix[first]
+        yield _Level(bit, (keys >> np.uint64(level)) << np.uint64(8) | np.uint64(1 << level) | prefix, at, counts, evidence, weighted)
+
+
+def _by_pair(fn: Callable[[np.ndarray, np.ndarray], pa.RecordBatch], least: int = 100_000):
+    """``fn`` over sorted codes and their counts; the codes of one two-byte context are never parted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, counts, held = [], [], 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            codes.append(batch.column("code").to_numpy().astype(np.uint64))
+            counts.append(batch.column("n").to_numpy())
+            held += len(batch)
+            if held >= least and codes[-1][-1] >> np.uint64(24) != codes[0][0] >> np.uint64(24):
+                code, n = np.concatenate(codes), np.concatenate(counts)
+                cut = int(np.searchsorted(code >> np.uint64(24), code[-1] >> np.uint64(24)))
+                yield fn(code[:cut], n[:cut])
+                codes, counts, held = [code[cut:]], [n[cut:]], len(code) - cut
+        if held:
+            yield fn(np.concatenate(codes), np.concatenate(counts))
+
+    return run
+
+
+def _sums(code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    levels = list(_levels(code, n))
+    key, zero, one, weight = (np.concatenate(x) for x in zip(*((x.keys, x.n[2][:, 0], x.n[2][:, 1], x.weighted[2]) for x in levels)))
+    node = (key >> np.uint64(16) << np.uint64(8) | key & np.uint64(255)).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(node), pa.array(zero.astype(np.int64)), pa.array(one.astype(np.int64)), pa.array(weight)], ["node", "zero", "one", "below"])
+
+
+def _top(sums: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """What depths 0 and 1 give of each decision after each byte, and the weight they leave to the depths below: (256 bytes, 256 nodes) each."""
+    node, zero, one, under = (sums.column(k).to_numpy() for k in range(4))
+    n, below = np.zeros((256, 256, 2)), np.zeros((256, 256))
+    n[node >> 8, node & 255, 0], n[node >> 8, node & 255, 1], below[node >> 8, node & 255] = zero, one, under
+    all_n, evidence = n.sum(0), _evidence(n)
+    weighted = np.logaddexp(evidence, below) - math.log(2)
+    own = np.exp(evidence - math.log(2) - weighted)
+    all_evidence = _evidence(all_n)
+    all_own = np.exp(all_evidence - np.logaddexp(all_evidence, weighted.sum(0)))
+    return all_own * _estimate(all_n) + (1 - all_own) * own * _estimate(n), (1 - all_own) * (1 - own)
+
+
+def _probabilities(shared):
+    def run(code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        mixed_above, left_above = shared.value
+        logs = np.zeros(len(code))
+        for x in _levels(code, n):
+            at = (x.keys >> np.uint64(16)).astype(int), (x.keys & np.uint64(255)).astype(int)
+            mixed, left = mixed_above[at], left_above[at]
+            for d in (2, 3):
+                own = np.exp(x.evidence[d] - math.log(2) - x.weighted[d])
+                mixed, left = mixed + left * own * _estimate(x.n[d]), left * (1 - own)
+                mixed, left = mixed[x.at[d]], left[x.at[d]]
+            q = np.clip(mixed + left * _estimate(x.n[4]), 1e-300, 1 - 1e-16)[x.at[4]]
+            logs += np.log10(np.where(x.bit == 1, q, 1 - q))
+        return pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(n), pa.array(logs.astype(np.float32))], ["code", "n", "p"])
+
+    return run
+
+
+def weighed(counts: DataFrame) -> DataFrame:
+    """code (nearest byte first), n and the log10 of the probability that the context tree gives, for each code counted."""
+    grams = counts.where("code is not null").select("code", "n").repartition(F.shiftright("code", 24)).sortWithinPartitions("code")
+    sums = map_batches(grams, _by_pair(_sums), "node long, zero long, one long, below double").groupBy("node").agg(F.sum("zero"), F.sum("one"), F.sum("below")).toArrow()
+    shared = counts.sparkSession.sparkContext.broadcast(_top(sums))
+    return map_batches(grams, _by_pair(_probabilities(shared)), "code long, n long, p float")
+
+
+class Lookup:
+    """Values of codes in tables of one slot a hash: a code whose slot is taken by one before it is in a further table."""
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray):
+        self.tables = []
+        random = np.random.default_rng(10)
+        while len(codes):
+            bits = max(8, (2 * len(codes) - 1).bit_length())
+            factor, shift = np.uint64(int(random.integers(1 << 62, 1 << 63)) | 1), np.uint64(64 - bits)
+            slot, first = np.unique((codes * factor) >> shift, return_index=True)
+            keys, held = np.full(1 << bits, (1 << 64) - 1, np.uint64), np.zeros(1 << bits, np.float32)
+            keys[slot], held[slot] = codes[first], values[first]
+            self.tables.append((factor, shift, keys, held))
+            rest = np.ones(len(codes), bool)
+            rest[first] = False
+            codes, values = codes[rest], values[rest]
+
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The value of each code, 0 where it is not held; and the places of those not held."""
+        out, missing = np.zeros(len(codes), np.float32), np.arange(len(codes))
+        for factor, shift, keys, held in self.tables:
+            slot = ((codes * factor) >> shift).astype(np.int64)
+            hit = keys[slot] == codes
+            out[missing[hit]] = held[slot[hit]]
+            missing, codes = missing[~hit], codes[~hit]
+        return out, missing
 
 
 @dataclass
 class Trained:
-    model: Model
     counts: DataFrame
+    grams: DataFrame
+    frequent_grams: tuple[np.ndarray, np.ndarray]
+    least_gram: float
     frequent: dict[bytes, int]
     least: float
     tokens: int
@@ -221,28 +339,40 @@ class Trained:
 
 
 def train(docs: DataFrame) -> Trained:
-    """Count the training documents (all but the held-out ones) and weigh the trees."""
-    rows = docs.where(~held_out(F.col("doc_id"))).select(F.col("text").cast("string").alias("text"))
+    """Count the training documents (all but the held-out ones) and weigh the trees, also for what the held-out ones hold."""
+    rows = docs.select(F.col("text").cast("string").alias("text"), held_out(F.col("doc_id")).alias("held_out"))
     parts = map_batches(rows, _counting(), "word binary, code long, n long")
     counts = spool(parts.groupBy("word", "code").agg(F.sum("n").alias("n")), "lm-counts")
     n, types = counts.where("word is not null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     least = n / WORDS
     often = counts.where((F.col("n") >= least) & (F.octet_length("word") <= LONG_WORD)).select("word", "n").toArrow()
     frequent = dict(zip(often.column(0).to_pylist(), often.column(1).to_pylist()))
-    return Trained(weigh(_tree(counts)[0]), counts, frequent, least, n, types)
+    grams = spool(weighed(counts), "lm-grams")
+    least_gram = max(1, (grams.agg(F.sum("n")).first()[0] or 0) / GRAMS)
+    top = grams.where(F.col("n") >= least_gram).select("code", "p", "n").toArrow()
+    order = np.argsort(-top.column(2).to_numpy(), kind="stable")
+    frequent_grams = top.column(0).to_numpy().astype(np.uint64)[order], top.column(1).to_numpy()[order]
+    return Trained(counts, grams, frequent_grams, least_gram, frequent, least, n, types)
 
 
 _tables: dict[int, tuple] = {}
 
 
+def _keys(code: np.ndarray) -> pa.Array:
+    """Codes as keys beside words: a line feed, which no word holds, and five bytes."""
+    out = np.full((len(code), 6), 10, np.uint8)
+    out[:, 1:] = code.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:]
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(6), len(code), [None, pa.py_buffer(out.tobytes())]).cast(pa.binary())
+
+
 def _scoring(shared, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, frequent, tokens, types = shared.value
+        grams, frequent, tokens, types = shared.value
         if key not in _tables:
             _tables.clear()
             norm = math.log10(tokens + 0.1 * (types + 1))
-            _tables[key] = (*model.tables(), model.rows.reshape(-1), {w: math.log10(c + 0.1) - norm for w, c in frequent.items()})
-        third, fourth, rows, logs = _tables[key]
+            _tables[key] = (Lookup(*grams), {w: math.log10(c + 0.1) - norm for w, c in frequent.items()})
+        lookup, logs = _tables[key]
         for batch in batches:
             rids = batch.column("rid").to_pylist()
             data = [_bytes(t) for t in batch.column("text").to_pylist()]
@@ -256,9 +386,15 @@ def _scoring(shared, key: str):
                     size += len(data[last]) + 1
                     last += 1
                 code, starts = _grams(data[first:last])
-                leaf = third[(code >> np.uint64(8) & np.uint64(0xFFFFFF)).astype(np.int64)].astype(np.int64)
-                leaf = fourth[leaf * 256 + (code >> np.uint64(32)).astype(np.int64)].astype(np.int64)
-                scores[first:last] = np.add.reduceat(rows[leaf * 256 + (code & np.uint64(255)).astype(np.int64)].astype(np.float64), starts)
+                code = _nearest_first(code)
+                found, missing = lookup.find(code)
+                scores[first:last] = np.add.reduceat(found.astype(np.float64), starts)
+                if len(missing):
+                    own = np.searchsorted(starts, missing, "right") - 1
+                    pairs, n = np.unique(own.astype(np.uint64) << np.uint64(40) | code[missing], return_counts=True)
+                    row, size = np.array(rids[first:last])[(pairs >> np.uint64(40)).astype(np.int64)], len(pairs)
+                    arrays = [pa.array(row, pa.int64()), _keys(pairs & np.uint64((1 << 40) - 1)), pa.array(n, pa.int64()), pa.array(np.zeros(size)), *[pa.array(np.zeros(size, np.int64))] * 2, pa.array(np.zeros(size))]
+                    yield pa.RecordBatch.from_arrays(arrays, ["rid", "word", "n", "base", "known", "tokens", "score"])
                 first = last
             out: dict[str, list] = {k: [] for k in ("rid", "word", "n", "base", "known", "tokens")}
             for rid, d in zip(rids, data):
@@ -289,18 +425,20 @@ def _scoring(shared, key: str):
 
 
 def score(docs: DataFrame, trained: Trained) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte, a row per document."""
+    """For the documents that ``trained`` is of: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte, a row per document."""
     spark = docs.sparkSession
     ids = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.col("text").cast("string").alias("text"))
-    shared = spark.sparkContext.broadcast((trained.model, trained.frequent, trained.tokens, trained.types))
+    shared = spark.sparkContext.broadcast((trained.frequent_grams, trained.frequent, trained.tokens, trained.types))
     key = f"{spark.sparkContext.applicationId}-{shared._jbroadcast.id() if shared._jbroadcast else id(shared)}"
     parts = map_batches(ids.select("rid", "text"), _scoring(shared, key), "rid long, word binary, n long, base double, known long, tokens long, score double")
-    rare = trained.counts.where((F.col("n") < trained.least) | (F.octet_length("word") > LONG_WORD)).select("word", F.col("n").alias("c"))
+    rare = trained.counts.where((F.col("n") < trained.least) | (F.octet_length("word") > LONG_WORD)).where("word is not null").select("word", F.col("n").alias("c"), F.lit(None).cast("float").alias("p"))
+    mark = F.lit("\n").cast("binary")
+    deep = trained.grams.where(F.col("n") < trained.least_gram).select(F.concat(mark, F.unhex(F.lpad(F.hex("code"), 10, "0"))).alias("word"), F.lit(None).cast("long").alias("c"), "p")
     norm = math.log10(trained.tokens + 0.1 * (trained.types + 1))
-    c = F.coalesce(F.col("c"), F.lit(0))
-    joined = parts.join(rare, "word", "left").groupBy("rid").agg(
-        F.sum(F.col("base") + F.col("n") * (F.log10(c + F.lit(0.1)) - norm)).alias("base_score"), F.sum(F.col("known") + F.when(c > 0, F.col("n")).otherwise(0)).alias("n_known"),
-        F.sum("tokens").alias("n_tokens"), F.sum("score").alias("score"),
+    c, is_word = F.coalesce(F.col("c"), F.lit(0)), ~F.col("word").startswith(mark)
+    joined = parts.join(rare.unionByName(deep), "word", "left").groupBy("rid").agg(
+        F.sum(F.when(is_word, F.col("base") + F.col("n") * (F.log10(c + F.lit(0.1)) - norm)).otherwise(0)).alias("base_score"), F.sum(F.col("known") + F.when(c > 0, F.col("n")).otherwise(0)).alias("n_known"),
+        F.sum("tokens").alias("n_tokens"), F.sum(F.col("score") + F.when(is_word, 0).otherwise(F.col("n") * F.col("p"))).alias("score"),
     )
     names = ids.select("rid", "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("size"))
     bits = -F.col("score") * math.log2(10) / F.col("size")
@@ -312,5 +450,6 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def forget(trained: Trained) -> None:
-    """Delete the spooled counts, once no result of ``score`` is read any more."""
+    """Delete the spooled tables, once no result of ``score`` is read any more."""
     unspool(trained.counts)
+    unspool(trained.grams)
