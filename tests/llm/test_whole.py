@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from wideleaf.llm import lm
+from wideleaf.llm import licenses, lm
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,3 +31,11 @@ def test_every_context_scores(spark, monkeypatch):
         c = lm._grams([lm._bytes(text)])[0].astype(np.int64)
         leaf = fourth[third[c >> 8 & 0xFFFFFF].astype(np.int64) * 256 + (c >> 32)]
         assert got[k] == pytest.approx(model.rows[leaf, c & 255].astype(float).sum(), rel=1e-4), k
+
+
+def test_short_license_notice():
+    scanner = licenses.Scanner(licenses.TEMPLATES | {"two": "No warranty"})
+    found = licenses._scan([licenses.words(t) for t in ("some text here. All rights reserved.", "All rights reserved", "no rights, no warranty", "all rights")], scanner)
+    assert [[(x["license"], x["first_word"], x["last_word"]) for x in f] for f in found] == [[("rights-reserved-notice", 3, 5)], [("rights-reserved-notice", 0, 2)], [("two", 2, 3)], []]
+    with pytest.raises(ValueError):
+        licenses.Scanner({"none": "..."})

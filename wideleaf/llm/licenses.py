@@ -5,10 +5,10 @@ sizes' length, one size apart, hold any place of such a length whole.  A window
 similarity to it of at least 1/4 (1/8 in the smallest size, where m may be 1); with ``BANDS`` bands of one row a
 template is retrieved with 1 - (3/4)^64 > 1 - 1e-7 (1 - (7/8)^64 > 0.9998).  Then shingles are compared exactly:
 a match is a template of which ``CONTAINED`` or more of the shingles are in the window, and its span is
-the shortest that holds them.
+the shortest that holds them.  A template of fewer than ``WORDS`` words is one whole
+shingle of its own length, and is found wherever these words stand.
 
-Defined results: a null or empty text, or one of fewer words than a shingle, holds no license; templates shorter than
-a shingle are rejected; a template found in several windows is listed once for each stretch of overlapping spans; equal rows are
+Defined results: a null or empty text holds no license; templates without words are rejected; a template found in several windows is listed once for each stretch of overlapping spans; equal rows are
 scanned separately and alike; further columns are ignored; an empty table gives an empty result.
 """
 
@@ -42,6 +42,7 @@ TEMPLATES = {
     "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "rights-reserved": "All rights reserved. No part of this publication may be reproduced without permission.",
+    "rights-reserved-notice": "All rights reserved.",
 }
 
 _WORD = regex.compile(r"\w+")
@@ -69,18 +70,26 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_SPLIT).split() if text else []
 
 
-def shingles(found: list[bytes]) -> np.ndarray:
-    """A hash for each run of WORDS words, in order."""
-    if len(found) < WORDS:
+def _hashed(found: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_hashes.__getitem__, found), _U64, len(found))
+
+
+def _runs(h: np.ndarray, size: int) -> np.ndarray:
+    """A hash for each run of ``size`` words, given the words' hashes."""
+    if len(h) < size:
         return np.zeros(0, _U64)
-    h = np.fromiter(map(_hashes.__getitem__, found), _U64, len(found))
-    out = np.zeros(len(h) - WORDS + 1, _U64)
-    for i in range(WORDS):
+    out = np.zeros(len(h) - size + 1, _U64)
+    for i in range(size):
         out = out * _U64(0xD6E8FEB86659FD93) + h[i : len(out) + i]
     out = (out ^ (out >> _U64(31))) * _U64(0x9E3779B97F4A7C15)
     return out ^ (out >> _U64(29))
 
 
+def shingles(found: list[bytes]) -> np.ndarray:
+    """A hash for each run of WORDS words, in order."""
+    return _runs(_hashed(found), WORDS)
+
+
 def _permuted(x: np.ndarray, band: int) -> np.ndarray:
     return (x >> _U64(32)).astype(np.uint32) * _FACTORS[band] + _ADDENDS[band]
 
@@ -88,11 +97,16 @@ def _permuted(x: np.ndarray, band: int) -> np.ndarray:
 class Scanner:
     def __init__(self, templates: dict[str, str] = TEMPLATES):
         self.names, self.sets = [], []
+        #: number of words: the whole shingles of the templates of so few words, and their names
+        self.short: dict[int, list[tuple[np.uint64, str]]] = {}
         by_size: dict[int, list[int]] = {}
         for name, text in templates.items():
-            s = np.unique(shingles(words(text)))
-            if not len(s):
-                raise ValueError(f"{name} has fewer than {WORDS} words")
+            if not (own := words(text)):
+                raise ValueError(f"{name} has no words")
+            if len(own) < WORDS:
+                self.short.setdefault(len(own), []).append((_runs(_hashed(own), len(own))[0], name))
+                continue
+            s = np.unique(shingles(own))
             by_size.setdefault(max(CELL, 1 << (len(s) - 1).bit_length()), []).append(len(self.names))
             self.names.append(name)
             self.sets.append(s)
@@ -155,7 +169,8 @@ class Scanner:
 
 def _scan(batch_words: list[list[bytes]], scanner: Scanner) -> list[list[dict]]:
     """The licenses of each text.  Texts are put behind one another; windows over their borders are cut to one text."""
-    hashes = [shingles(w) for w in batch_words]
+    single = [_hashed(w) for w in batch_words]
+    hashes = [_runs(x, WORDS) for x in single]
     bounds = np.concatenate(([0], np.cumsum([len(h) for h in hashes])))
     h = np.concatenate(hashes) if hashes else np.zeros(0, _U64)
     out: list[list[dict]] = [[] for _ in hashes]
@@ -173,6 +188,15 @@ def _scan(batch_words: list[list[bytes]], scanner: Scanner) -> list[list[dict]]:
             if all(span[1] <= a or span[0] >= b for a, b, _ in kept):
                 kept.append(span)
         out[d] += [{"license": scanner.names[t], "first_word": a, "last_word": b + WORDS - 2, "containment": c} for a, b, c in kept]
+    for size, templates in scanner.short.items():
+        for found, x in zip(out, single):
+            runs = _runs(x, size)
+            for h1, name in templates:
+                free = 0
+                for a in np.flatnonzero(runs == h1).tolist():
+                    if a >= free:
+                        free = a + size
+                        found.append({"license": name, "first_word": a, "last_word": free - 1, "containment": 1.0})
     for found in out:
         found.sort(key=lambda x: (x["first_word"], x["license"]))
     return out
