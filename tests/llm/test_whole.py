@@ -39,3 +39,16 @@ def test_short_license_notice():
     assert [[(x["license"], x["first_word"], x["last_word"]) for x in f] for f in found] == [[("rights-reserved-notice", 3, 5)], [("rights-reserved-notice", 0, 2)], [("two", 2, 3)], []]
     with pytest.raises(ValueError):
         licenses.Scanner({"none": "..."})
+
+
+@pytest.mark.parametrize("name", sorted(k for k, t in licenses.TEMPLATES.items() if len(licenses.words(t)) >= licenses.WORDS))
+def test_every_copy_of_a_license(name):
+    own, scanner = licenses.words(licenses.TEMPLATES[name]), licenses.Scanner()
+    for at in range(0, 70, 3):
+        for n in (2, 3, 5):
+            text = [b"x%d" % k for k in range(at)] + own * n + [b"y"]
+            spans = [(x["first_word"], x["last_word"], x["containment"]) for x in licenses._scan([text], scanner)[0] if x["license"] == name]
+            assert spans == [(at + k * len(own), at + (k + 1) * len(own) - 1, 1.0) for k in range(n)]
+    if len(own) > 30:  # copies that lack different words
+        text = own[:12] + [b"z"] + own[13:] + own[:22] + [b"z"] + own[23:]
+        assert [(x["first_word"], x["last_word"]) for x in licenses._scan([text], scanner)[0] if x["license"] == name] == [(0, len(own) - 1), (len(own), 2 * len(own) - 1)]

@@ -4,8 +4,8 @@ A template of m shingles (of ``WORDS`` words) belongs to the size 2^c >= m, at l
 sizes' length, one size apart, hold any place of such a length whole.  A window that holds a template has a Jaccard
 similarity to it of at least 1/4 (1/8 in the smallest size, where m may be 1); with ``BANDS`` bands of one row a
 template is retrieved with 1 - (3/4)^64 > 1 - 1e-7 (1 - (7/8)^64 > 0.9998).  Then shingles are compared exactly:
-a match is a template of which ``CONTAINED`` or more of the shingles are in the window, and its span is
-the shortest that holds them.  A template of fewer than ``WORDS`` words is one whole
+a match is a template of which ``CONTAINED`` or more of the shingles are in a stretch of the window that repeats none of them, and its span is
+the shortest that holds them; a window may hold several.  A template of fewer than ``WORDS`` words is one whole
 shingle of its own length, and is found wherever these words stand.
 
 Defined results: a null or empty text holds no license; templates without words are rejected; a template found in several windows is listed once for each stretch of overlapping spans; equal rows are
@@ -96,7 +96,7 @@ def _permuted(x: np.ndarray, band: int) -> np.ndarray:
 
 class Scanner:
     def __init__(self, templates: dict[str, str] = TEMPLATES):
-        self.names, self.sets = [], []
+        self.names, self.sets, self.order = [], [], []
         #: number of words: the whole shingles of the templates of so few words, and their names
         self.short: dict[int, list[tuple[np.uint64, str]]] = {}
         by_size: dict[int, list[int]] = {}
@@ -106,10 +106,12 @@ class Scanner:
             if len(own) < WORDS:
                 self.short.setdefault(len(own), []).append((_runs(_hashed(own), len(own))[0], name))
                 continue
-            s = np.unique(shingles(own))
+            s, at, n = np.unique(shingles(own), return_index=True, return_counts=True)
             by_size.setdefault(max(CELL, 1 << (len(s) - 1).bit_length()), []).append(len(self.names))
             self.names.append(name)
             self.sets.append(s)
+            #: how often the template has a shingle, and where first
+            self.order.append((dict(zip(s.tolist(), n.tolist())), dict(zip(s.tolist(), at.tolist()))))
         #: size: for each band, sorted minima of its templates and the templates in that order
         self.bands = {}
         for size, own in by_size.items():
@@ -145,26 +147,40 @@ class Scanner:
                         k += 1
         return found
 
-    def matches(self, h: np.ndarray, first: int, last: int, template: int) -> tuple[int, int, float] | None:
-        """The shortest span of shingles in [first, last) that holds what the window has of the template."""
-        part, own = h[first:last], self.sets[template]
-        at = np.flatnonzero(np.isin(part, own))
-        have = np.unique(part[at])
-        if not len(have) or len(have) < CONTAINED * len(own):
-            return None
-        count: dict[int, int] = {}
-        best, i = None, 0
-        for p in at.tolist():
-            count[int(part[p])] = count.get(int(part[p]), 0) + 1
-            while len(count) == len(have):
-                if best is None or p - at[i] < best[1] - best[0]:
-                    best = (int(at[i]), p)
-                x = int(part[at[i]])
-                count[x] -= 1
-                if not count[x]:
-                    del count[x]
-                i += 1
-        return first + best[0], first + best[1] + 1, len(have) / len(own)
+    def matches(self, h: np.ndarray, first: int, last: int, template: int) -> list[tuple[int, int, float, int]]:
+        """The spans of shingles in [first, last) that hold the template, none overlapping another; how much they hold of it,
+        and how often they step back in it.
+
+        A span has no shingle more often than the template.  Spans in the template's order come first, as one that
+        joins the end of a copy to the start of the next would hide both; then those that hold more, then shorter ones."""
+        part, own, (often, place) = h[first:last], self.sets[template], self.order[template]
+        places = np.flatnonzero(np.isin(part, own))
+        least = CONTAINED * len(own)
+        if len(np.unique(part[places])) < least:
+            return []
+        at, found = places.tolist(), part[places].tolist()
+        spans = []
+        for i in range(len(at)):
+            seen: dict[int, int] = {}
+            back, before = 0, -1
+            for p, x in zip(at[i:], found[i:]):
+                if seen.get(x, 0) == often[x]:
+                    break
+                seen[x] = seen.get(x, 0) + 1
+                if often[x] == 1:
+                    back += place[x] < before
+                    before = place[x]
+                if len(seen) >= least and seen[x] == 1:
+                    spans.append((first + at[i], first + p + 1, len(seen) / len(own), back))
+        return _disjoint(spans)
+
+
+def _disjoint(spans: list[tuple[int, int, float, int]]) -> list[tuple[int, int, float, int]]:
+    kept: list[tuple[int, int, float, int]] = []
+    for span in sorted(set(spans), key=lambda s: (s[3], -s[2], s[1] - s[0], s[0])):
+        if all(span[1] <= x[0] or span[0] >= x[1] for x in kept):
+            kept.append(span)
+    return kept
 
 
 def _scan(batch_words: list[list[bytes]], scanner: Scanner) -> list[list[dict]]:
@@ -174,20 +190,17 @@ def _scan(batch_words: list[list[bytes]], scanner: Scanner) -> list[list[dict]]:
     bounds = np.concatenate(([0], np.cumsum([len(h) for h in hashes])))
     h = np.concatenate(hashes) if hashes else np.zeros(0, _U64)
     out: list[list[dict]] = [[] for _ in hashes]
-    best: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
+    best: dict[tuple[int, int], list[tuple[int, int, float, int]]] = {}
     for t, first, last in scanner.candidates(h) if len(h) else ():
         d = int(np.searchsorted(bounds, first, "right")) - 1
         while d < len(hashes) and bounds[d] < last:
             a, b = max(first, int(bounds[d])), min(last, int(bounds[d + 1]))
-            if a < b and (m := scanner.matches(h, a, b, t)):
-                best.setdefault((d, t), []).append((m[0] - int(bounds[d]), m[1] - int(bounds[d]), m[2]))
+            if a < b:
+                for m in scanner.matches(h, a, b, t):
+                    best.setdefault((d, t), []).append((m[0] - int(bounds[d]), m[1] - int(bounds[d]), *m[2:]))
             d += 1
     for (d, t), spans in best.items():
-        kept: list[tuple[int, int, float]] = []
-        for span in sorted(set(spans), key=lambda s: (-s[2], s[1] - s[0], s[0])):
-            if all(span[1] <= a or span[0] >= b for a, b, _ in kept):
-                kept.append(span)
-        out[d] += [{"license": scanner.names[t], "first_word": a, "last_word": b + WORDS - 2, "containment": c} for a, b, c in kept]
+        out[d] += [{"license": scanner.names[t], "first_word": a, "last_word": b + WORDS - 2, "containment": c} for a, b, c, _ in _disjoint(spans)]
     for size, templates in scanner.short.items():
         for found, x in zip(out, single):
             runs = _runs(x, size)
