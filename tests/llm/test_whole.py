@@ -1,13 +1,17 @@
 """That operators do the whole job: what a cut would leave out."""
 
+import base64
+import bz2
 import collections
+import gzip
+import lzma
 import zlib
 
 import duckdb
 import numpy as np
 import pytest
 
-from wideleaf.llm import licenses, lm
+from wideleaf.llm import licenses, lm, secrets
 
 SF = "/root/testdata/sf0.001"
 
@@ -52,3 +56,33 @@ def test_every_copy_of_a_license(name):
     if len(own) > 30:  # copies that lack different words
         text = own[:12] + [b"z"] + own[13:] + own[:22] + [b"z"] + own[23:]
         assert [(x["first_word"], x["last_word"]) for x in licenses._scan([text], scanner)[0] if x["license"] == name] == [(0, len(own) - 1), (len(own), 2 * len(own) - 1)]
+
+
+SECRET = 'my password="hunter2hunter2" here'
+
+
+def encoded(data: str | bytes) -> str:
+    return base64.b64encode(data if isinstance(data, bytes) else data.encode()).decode().rstrip("=")
+
+
+@pytest.mark.parametrize("before", ["https://h.example/cb/", "id_", "data-", "x/", "abc", "some_word-", ""])
+@pytest.mark.parametrize("after", ["", "/rest", "-x", "_tail", "\nnext line"])
+@pytest.mark.parametrize("payload", [SECRET, SECRET + "\0", "\0\1" + SECRET, zlib.compress(SECRET.encode()), gzip.compress(SECRET.encode())])
+def test_base64_that_touches_others(before, after, payload):
+    text = f"zz {before}{encoded(payload)}{after} yy"
+    covered = {i for _, a, b in secrets.scan(text)[1] for i in range(a, b)}
+    at = text.index(encoded(payload))
+    assert covered >= set(range(at + 8, at + len(encoded(payload)) - 8)) and not covered & {0, 1, len(text) - 1}
+
+
+@pytest.mark.parametrize("wrap", ["\n", "\r\n", "\n   "])
+def test_wrapped_base64(wrap):
+    blob = encoded(lzma.compress(SECRET.encode() * 3))
+    lines = [blob[i : i + 30] for i in range(0, len(blob), 30)]
+    text = f"key:\n\n{wrap.join(lines)} yy"
+    assert [x for x in secrets.scan(text)[1] if x[0] == "assign"] == [("assign", 6, len(text) - 3)]
+
+
+def test_equal_blobs_at_two_places():
+    blob = encoded(SECRET)
+    assert secrets.scan(f"{blob} {blob}")[1] == [("assign", 0, len(blob)), ("assign", len(blob) + 1, 2 * len(blob) + 1)]

@@ -2,24 +2,30 @@
 
 Every text is scanned as it stands; then URL escapes, backslash escapes, base64 blobs and compressed
 data in it are unwrapped, each into a further layer, which is scanned and unwrapped in turn until no new
-layer appears.  A layer seen before in the same document is not taken up again, so cycles end.  Each
+layer appears.  A layer seen before at the same place is not taken up again, so cycles end.  Each
 character of a layer knows the span of the original text it comes from.
 
+A base64 blob may touch other characters of its alphabet (a path, a word before a hyphen) and may be wrapped over lines:
+lines are joined, and each run is decoded from its first four characters on, as every group of four stands for
+itself.  In what is decoded, stretches of text and compressed members are looked for wherever they begin; members
+that follow one another are one layer.
+
 Defined results: a null or empty text holds no secrets; rows of equal text are scanned separately and
 alike; further columns are ignored (or carried, when rows are redacted).  ``max_unpacked`` bounds
-only what one compressed blob may grow to; such a blob is reported whole, as kind ``packed``.
+what compressed members that follow one another may grow to, and 64 times that all layers of such a chain together;
+what goes beyond is reported whole, as kind ``packed``.
 """
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import pyarrow as pa
@@ -37,6 +43,10 @@ _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
 _ESCAPED = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
 _BLOB = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_ENDS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
+#: Text of as many bytes as the shortest secret has.
+_STRETCH = re.compile(rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){12,}")
+_MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\0")
 _ODD = re.compile(r"[^\x09\x0a\x0d\x20-\x7e\x80-\U0010ffff]|[\x80-\x9f�]")
 
 Span = tuple[str, int, int]
@@ -101,25 +111,51 @@ def _from_escapes(run: str) -> tuple[str, list[int]] | None:
     return plain, widths
 
 
-def _unpack(data: bytes, most: int) -> bytes | None:
-    """Decompressed data; None if it is not compressed; OverflowError if it exceeds ``most``."""
+def _unpack(data: memoryview, most: int) -> tuple[bytes, int | None] | None:
+    """Decompressed data of one member and where it ends (None if it is cut off); None if it is not compressed; OverflowError if
+    it exceeds ``most``."""
     if data[:2] == b"\x1f\x8b":
         machine = zlib.decompressobj(31)
-    elif data[:1] == b"\x78" and len(data) > 5 and int.from_bytes(data[:2]) % 31 == 0:
+    elif data[:1] == b"\x78":
         machine = zlib.decompressobj()
     elif data[:3] == b"BZh":
         machine = bz2.BZ2Decompressor()
-    elif data[:6] == b"\xfd7zXZ\0":
-        machine = lzma.LZMADecompressor()
     else:
-        return None
+        machine = lzma.LZMADecompressor()
     try:
         out = machine.decompress(data, most + 1)
     except (zlib.error, OSError, lzma.LZMAError, EOFError):
         return None
     if len(out) > most:
         raise OverflowError
-    return out
+    return out, len(data) - len(machine.unused_data) if machine.eof else None
+
+
+def _members(data: bytes, most: int) -> Iterator[tuple[bytes | None, int, int]]:
+    """The compressed members in ``data`` and where they stand; None instead of what exceeds ``most``.
+
+    Members that follow one another, at most padded with zeros, come as one."""
+    view, chain, begin, end = memoryview(data), [], 0, 0
+    for m in _MAGIC.finditer(data):
+        at = m.start()
+        if at < end:
+            continue
+        if chain and data[end:at].strip(b"\0"):
+            yield b"".join(chain), begin, end
+            chain = []
+        try:
+            found = _unpack(view[at:], most - sum(map(len, chain)))
+        except OverflowError:
+            yield None, begin if chain else at, len(data)
+            return
+        if not found:
+            continue
+        if found[1] is None:  # cut off, or no member at all: what is behind it is looked at too
+            if found[0]:
+                yield b"".join([*chain, found[0]]), begin if chain else at, len(data)
+            continue
+        yield found[0], at, at + found[1]
+        return
 
 
 def _plain(data: bytes) -> str | None:
@@ -131,28 +167,62 @@ def _plain(data: bytes) -> str | None:
     return None if not text or _ODD.search(text) else text
 
 
-def _blob(run: str, most: int) -> str | None:
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except binascii.Error:
-        return None
-    for _ in range(64):
-        if (more := _unpack(data, most)) is None:
-            break
-        data = more
-    return _plain(data)
+def _stretches(data: bytes) -> Iterator[tuple[str, int, int]]:
+    """The texts in ``data`` and where they stand."""
+    if (text := _plain(data)) is not None:
+        yield text, 0, len(data)
+        return
+    for m in _STRETCH.finditer(data):
+        yield m[0].decode("utf-8", "replace"), *m.span()
+
+
+def _joined(layer: str) -> tuple[str, list[int], list[int]]:
+    """``layer`` without the line breaks inside wrapped runs; where in it these were, and how much all up to each took."""
+    if "\n" not in layer:
+        return layer, [], []
+    parts, cuts, taken, last, at, gone = [], [], [], 0, 0, 0
+    lines = layer.split("\n")
+    for line, after in zip(lines, lines[1:]):
+        at += len(line) + 1
+        left, right = line.rstrip(" \t\r"), after.lstrip(" \t")
+        if left and right and left[-1] in _ENDS and right[0] in _ENDS:
+            a, b = at - 1 - len(line) + len(left), at + len(after) - len(right)
+            parts.append(layer[last:a])
+            cuts.append(a - gone)
+            gone += b - a
+            taken.append(gone)
+            last = b
+    return ("".join([*parts, layer[last:]]) if parts else layer), cuts, taken
+
+
+def _blobs(layer: str) -> Iterator[tuple[bytes, Callable[[int, int], tuple[int, int]]]]:
+    """What the base64 runs of ``layer`` decode to from each of their first four characters, and a function from a span of it to one of ``layer``."""
+    text, cuts, taken = _joined(layer)
+
+    def place(i: int) -> int:
+        k = bisect_right(cuts, i)
+        return i + taken[k - 1] if k else i
+
+    for m in _BLOB.finditer(text):
+        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
+        for shift in range(4):
+            groups = body[shift : len(body) - ((len(body) - shift) % 4 == 1)]
+            data = binascii.a2b_base64(groups + "=" * (-len(groups) % 4))
+
+            def span(a: int, b: int, first=m.start() + shift, size=len(data), end=m.end()) -> tuple[int, int]:
+                return place(first + a // 3 * 4), place((end if b == size else min(end, first - (-b // 3) * 4)) - 1) + 1
+
+            yield data, span
 
 
 def scan(text: str, max_unpacked: int = 1 << 26) -> tuple[list[Span], list[Span]]:
     """The base spans, and all spans with those found in decoded layers, both in order."""
     base = sorted(scan_layer(text), key=_order)
-    every, seen = set(base), {hash(text)}
-    work: list[tuple[str, list[int] | int, list[int] | int]] = [(text, [], [])]
+    every, seen = set(base), {(str, hash(text))}
+    #: layers: the text or bytes, the start and end each character comes from (or all come from), and bytes unpacked so far
+    work: list[tuple[str | bytes, list[int] | int, list[int] | int, int]] = [(text, [], [], 0)]
     while work:
-        layer, starts, ends = work.pop()
+        layer, starts, ends, grown = work.pop()
         top = layer is text
 
         def origin(a: int, b: int, top=top, starts=starts, ends=ends) -> tuple[int, int]:
@@ -160,23 +230,30 @@ def scan(text: str, max_unpacked: int = 1 << 26) -> tuple[list[Span], list[Span]
                 return a, b
             return (starts, ends) if isinstance(starts, int) else (min(starts[a:b]), max(ends[a:b]))
 
-        if not top:
-            every.update((kind, *origin(a, b)) for kind, a, b in scan_layer(layer))
         further = []
-        for mark, pattern, decode in (("%", _URL, _from_url), ("\\", _ESCAPE, _from_escapes)):
-            if mark in layer and (made := _substituted(layer, pattern, decode)):
-                further.append((made[0], [origin(a, b)[0] for a, b in zip(made[1], made[2])], [origin(a, b)[1] for a, b in zip(made[1], made[2])]) if made[0] else ("", 0, 0))
-        for m in _BLOB.finditer(layer):
-            try:
-                plain = _blob(m[0], max_unpacked)
-            except OverflowError:
-                every.add(("packed", *origin(*m.span())))
-                continue
-            if plain:
-                further.append((plain, *origin(*m.span())))
+
+        def decoded(data: bytes, span: Callable[[int, int], tuple[int, int]], grown=grown, further=further) -> None:
+            further.extend((plain, *span(a, b), grown) for plain, a, b in _stretches(data))
+            for made, a, b in _members(data, max_unpacked):
+                if made is None or grown + len(made) > 64 * max_unpacked:
+                    every.add(("packed", *span(a, b)))
+                else:
+                    further.append((made, *span(a, b), grown + len(made)))
+
+        if isinstance(layer, bytes):
+            decoded(layer, origin)
+        else:
+            if not top:
+                every.update((kind, *origin(a, b)) for kind, a, b in scan_layer(layer))
+            for mark, pattern, decode in (("%", _URL, _from_url), ("\\", _ESCAPE, _from_escapes)):
+                if mark in layer and (made := _substituted(layer, pattern, decode)) and made[0]:
+                    further.append((made[0], [origin(a, b)[0] for a, b in zip(made[1], made[2])], [origin(a, b)[1] for a, b in zip(made[1], made[2])], grown))
+            for data, span in _blobs(layer):
+                decoded(data, lambda a, b, span=span: origin(*span(a, b)))
         for item in further:
-            if item[0] and hash(item[0]) not in seen:
-                seen.add(hash(item[0]))
+            key = (type(item[0]), hash(item[0])) + (item[1:3] if isinstance(item[1], int) else ())
+            if item[0] and key not in seen:
+                seen.add(key)
                 work.append(item)
     return base, sorted(every, key=_order)
 
