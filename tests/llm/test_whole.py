@@ -86,3 +86,18 @@ def test_wrapped_base64(wrap):
 def test_equal_blobs_at_two_places():
     blob = encoded(SECRET)
     assert secrets.scan(f"{blob} {blob}")[1] == [("assign", 0, len(blob)), ("assign", len(blob) + 1, 2 * len(blob) + 1)]
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress, zlib.compress])
+def test_further_compressed_members(pack):
+    blob = encoded(pack(b"nothing here ") + pack(b"the pass") + pack(b"word=hunter2hunter2"))
+    assert secrets.scan(f"zz {blob}")[1] == [("assign", 3, 3 + len(blob))]
+
+
+def test_deeply_packed():
+    data = SECRET.encode()
+    for _ in range(100):
+        data = zlib.compress(data, 0)
+    blob = encoded(data)
+    assert ("assign", 0, len(blob)) in secrets.scan(blob)[1]
+    assert secrets.scan(blob, 500)[1][0][0] == "packed"

@@ -154,8 +154,11 @@ def _members(data: bytes, most: int) -> Iterator[tuple[bytes | None, int, int]]:
             if found[0]:
                 yield b"".join([*chain, found[0]]), begin if chain else at, len(data)
             continue
-        yield found[0], at, at + found[1]
-        return
+        begin = begin if chain else at
+        chain.append(found[0])
+        end = at + found[1]
+    if chain:
+        yield b"".join(chain), begin, end
 
 
 def _plain(data: bytes) -> str | None:
