@@ -11,7 +11,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from wideleaf.llm import licenses, lm, secrets
+from wideleaf.llm import licenses, lm, secrets, wrappers
 
 SF = "/root/testdata/sf0.001"
 
@@ -101,3 +101,17 @@ def test_deeply_packed():
     blob = encoded(data)
     assert ("assign", 0, len(blob)) in secrets.scan(blob)[1]
     assert secrets.scan(blob, 500)[1][0][0] == "packed"
+
+
+def test_constant_texts_in_articles(spark):
+    """What stands on every page of a host goes, also in an article and among its paragraphs; what differs, or is most of a page, stays."""
+    note = "Read our other stories, " + "every day. " * 10
+    lead = lambda k: f"<p>{note[:95]} number {k}</p>"
+    page = lambda k: f'<body><article><h1>Title {k}</h1>{lead(k)}<p>{"text of page %d " % k * 20}</p><p>{note}</p>{"<p>more</p>" * (k % 3)}<div class="x"><p>Same box</p></div></article></body>'
+    rows = [(k, "http://many.example/", page(k)) for k in range(8)] + [(20 + k, "http://few.example/", page(k)) for k in range(4)] + [(40 + k, "http://one.example/", page(0)) for k in range(9)]
+    rows += [(60 + k, "http://near.example/", f"<article><p>{note}</p><p>{k}</p></article>") for k in range(9)]
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(8):
+        assert got[k].split("\n") == [f"Title {k}", f"{note[:95]} number {k}", ("text of page %d " % k * 20).strip(), *["more"] * (k % 3)]
+    assert all(note.strip() in got[k] and "Same box" in got[k] for k in (*range(20, 24), *range(40, 49)))
+    assert all(note.strip() in got[k] for k in range(60, 69))

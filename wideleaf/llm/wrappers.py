@@ -7,8 +7,9 @@ fold again.  So a wrapper has no alternatives, and merging wrappers is the same
 merged in salted parts first, and equal ones count once.
 
 The wrapper tells, for each container path of its host, how many texts stand there, how long they are and how
-much of them is link text.  Main text is what stands in an article or main element where the host has them; else in the
-paths that hold most of the text without links.  Menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+much of them is link text, and which texts stand there on every page.  Main text is what stands in an article or main
+element where the host has them; else in the paths that hold most of the text without links.  Texts on all of ``PAGES`` or
+more different pages of a host are left out in both cases, unless they are more than half of a page's main text.  Menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles and reader comments are left out by element, role or class.
 
 Defined results: a null or empty html has an empty text; a null url, or one without a host, is of the host ''; equal
@@ -26,11 +27,14 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wideleaf.llm.common import map_batches
 
+PAGES = 5
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""")
 _RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "xmp", "noembed", "noframes")
@@ -125,7 +129,7 @@ def blocks(page: str | None) -> list[Block]:
     return out
 
 
-# A wrapper is a list of nodes: ["text", path, texts, characters, linked characters, constant or null],
+# A wrapper is a list of nodes: ["text", path, texts, characters, linked characters, hashes of texts on every page],
 # ["repeat", nodes] and ["option", nodes].
 
 
@@ -133,11 +137,27 @@ def _shape(node: list) -> tuple:
     return ("text", node[1]) if node[0] == "text" else (node[0], tuple(_shape(x) for x in node[1]))
 
 
-def _absorb(a: list, b: list) -> list:
-    """Two nodes of the same shape as one: counts add up, texts that differ become a slot."""
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 11
+
+
+def _absorb(a: list, b: list, across: bool = False) -> list:
+    """Two nodes of the same shape as one, ``a`` being used up: counts add up; of two in the same pages the texts of both
+    stay, of two ``across`` pages only the common ones, the others become a slot."""
     if a[0] == "text":
-        return ["text", a[1], a[2] + b[2], a[3] + b[3], a[4] + b[4], a[5] if a[5] == b[5] else None]
-    return [a[0], [_absorb(x, y) for x, y in zip(a[1], b[1])]]
+        if across:
+            other = set(b[5])
+            common = [x for x in dict.fromkeys(a[5]) if x in other]
+        else:
+            common = a[5]
+            common.extend(b[5])
+        return ["text", a[1], a[2] + b[2], a[3] + b[3], a[4] + b[4], common]
+    return [a[0], [_absorb(x, y, across) for x, y in zip(a[1], b[1])]]
+
+
+def _varied(node: list) -> list:
+    """A node that other pages lack."""
+    return [*node[:5], []] if node[0] == "text" else [node[0], [_varied(x) for x in node[1]]]
 
 
 def fold(nodes: list, longest: int = 4) -> list:
@@ -171,7 +191,7 @@ def fold(nodes: list, longest: int = 4) -> list:
 
 def wrapper_of(found: list[Block]) -> list:
     """The wrapper of one page."""
-    return fold([["text", "/".join(b.path), 1, len(b.text), b.linked, b.text[:80]] for b in found if not b.bad])
+    return fold([["text", "/".join(b.path), 1, len(b.text), b.linked, [_hash(b.text)]] for b in found if not b.bad])
 
 
 def _inner(node: list) -> tuple:
@@ -187,12 +207,12 @@ def align(a: list, b: list) -> list:
         if op == "equal":
             for x, y in zip(a[i:j], b[k:n]):
                 xs, ys = ([x], [y]) if x[0] == y[0] == "text" else (x[1] if x[0] != "text" else [x], y[1] if y[0] != "text" else [y])
-                merged = [_absorb(p, q) for p, q in zip(xs, ys)]
+                merged = [_absorb(p, q, True) for p, q in zip(xs, ys)]
                 kinds = {x[0], y[0]} - {"text"}
                 out += merged if not kinds else [["repeat" if "repeat" in kinds else "option", merged]]
             continue
         for part in (a[i:j], b[k:n]):
-            out += [x if x[0] != "text" else ["option", [x]] for x in part]
+            out += [x if x[0] != "text" else ["option", [x]] for x in map(_varied, part)]
     return fold(out)
 
 
@@ -221,14 +241,33 @@ def main_paths(wrapper: list) -> list[str]:
     return sorted(p for p in plain if p.rpartition("/")[0] == best or p.startswith(best + "/") or 4 * plain[p] >= parents[best])
 
 
-def text_of(page: str | None, paths: set[str] | None) -> str:
-    """The main text of a page, given the main paths of its host."""
+def constants(wrapper: list) -> list[str]:
+    """Paths and hashes of the texts that stand on every page."""
+    out: set[str] = set()
+
+    def walk(nodes: list) -> None:
+        for x in nodes:
+            if x[0] == "text":
+                out.update(f"{h} {x[1]}" for h in x[5])
+            else:
+                walk(x[1])
+
+    walk(wrapper)
+    return sorted(out)
+
+
+def text_of(page: str | None, paths: set[str] | None, fixed: set[str] | None = None) -> str:
+    """The main text of a page, given the main paths of its host and the texts that stand on all its pages."""
     found = [b for b in blocks(page) if not b.bad]
     if any(b.inside for b in found):
         found = [b for b in found if b.inside]
     elif paths is not None:
         kept = [b for b in found if "/".join(b.path) in paths]
         found = kept or found
+    if fixed:
+        kept = [b for b in found if f"{_hash(b.text)} {'/'.join(b.path)}" not in fixed]
+        if 2 * sum(len(b.text) for b in kept) >= sum(len(b.text) for b in found):
+            found = kept
     return "\n".join(b.text for b in found)
 
 
@@ -238,13 +277,13 @@ def host_of(url):
 
 def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [json.dumps(wrapper_of(blocks(h))) for h in batch.column("html").to_pylist()]
+        found = [json.dumps([1, wrapper_of(blocks(h))]) for h in batch.column("html").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("salt"), pa.array(found, pa.string())], ["host", "salt", "wrapper"])
 
 
 def _merging(keys: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, wrapper, kinds = None, None, []
+        now, wrapper, last, kinds = None, None, None, []
         names = [*keys, "wrapper"]
 
         def batch() -> pa.RecordBatch:
@@ -257,8 +296,10 @@ def _merging(keys: list[str]):
                     if now is not None:
                         yield batch()
                     now, wrapper = key, json.loads(text)
-                else:
-                    wrapper = align(wrapper, json.loads(text))
+                elif text != last:
+                    n, nodes = json.loads(text)
+                    wrapper = [wrapper[0] + n, align(wrapper[1], nodes)]
+                last = text
         if now is not None:
             yield batch()
 
@@ -266,7 +307,7 @@ def _merging(keys: list[str]):
 
 
 def infer(pages: DataFrame, *, salts: int = 64) -> DataFrame:
-    """host and its wrapper (as JSON); a hot host is merged in ``salts`` parts first."""
+    """host and its wrapper (as JSON, with the number of different pages before it); a hot host is merged in ``salts`` parts first."""
     html = F.col("html").cast("string")
     keyed = pages.select(host_of(F.col("url")).alias("host"), F.pmod(F.xxhash64(html), F.lit(salts)).cast("int").alias("salt"), html.alias("html"))
     single = map_batches(keyed, _first, "host string, salt int, wrapper string")
@@ -281,15 +322,16 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def choosing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [main_paths(json.loads(w)) for w in batch.column("wrapper").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(found, pa.list_(pa.string()))], ["host", "paths"])
+            found = [json.loads(w) for w in batch.column("wrapper").to_pylist()]
+            lists = [main_paths(w) for _, w in found], [constants(w) if n >= PAGES else [] for n, w in found]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), *(pa.array(x, pa.list_(pa.string())) for x in lists)], ["host", "paths", "fixed"])
 
-    paths = map_batches(wrappers, choosing, "host string, paths array<string>")
+    paths = map_batches(wrappers, choosing, "host string, paths array<string>, fixed array<string>")
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host")).join(paths, "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [text_of(h, None if p is None else set(p)) for h, p in zip(batch.column("html").to_pylist(), batch.column("paths").to_pylist())]
+            texts = [text_of(h, None if p is None else set(p), set(f or ())) for h, p, f in zip(*(batch.column(c).to_pylist() for c in ("html", "paths", "fixed")))]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return map_batches(rows.select("page_id", "url", "html", "paths"), run, f"page_id {kind}, url string, text string, n_chars long")
+    return map_batches(rows.select("page_id", "url", "html", "paths", "fixed"), run, f"page_id {kind}, url string, text string, n_chars long")
