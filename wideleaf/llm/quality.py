@@ -4,6 +4,7 @@ Every text gets integer metrics.  Per language and source, each metric is summed
 quantile sketch: counts of log-linear buckets that keep the top seven bits of a value, so a quantile is at most
 1/64 below the true one, merging is adding counts, and the result doesn't depend on how rows are dealt.
 Fences come from the sketch's quartiles; a group of fewer than ``least`` documents takes those of its language, or of all.
+A metric that is 0 in three quarters of a group has both quartiles 0 there, so its fence is the constant slack.
 The fences are joined to the documents, and what lies outside goes.
 
 Defined results: a null or empty text has no words, fails the base rules and is not kept; null languages
