@@ -115,3 +115,8 @@ def test_constant_texts_in_articles(spark):
         assert got[k].split("\n") == [f"Title {k}", f"{note[:95]} number {k}", ("text of page %d " % k * 20).strip(), *["more"] * (k % 3)]
     assert all(note.strip() in got[k] and "Same box" in got[k] for k in (*range(20, 24), *range(40, 49)))
     assert all(note.strip() in got[k] for k in range(60, 69))
+
+
+def test_heading_beside_the_container():
+    page = '<body><h1>Title</h1><p class="lead">Lead</p><div class="content"><p>%s</p></div><div class="menu"><a href=x>m</a></div></body>' % ("long text " * 40)
+    assert wrappers.text_of(page, set(wrappers.main_paths(wrappers.wrapper_of(wrappers.blocks(page))))).split("\n") == ["Title", "Lead", ("long text " * 40).strip()]

@@ -8,7 +8,7 @@ merged in salted parts first, and equal ones count once.
 
 The wrapper tells, for each container path of its host, how many texts stand there, how long they are and how
 much of them is link text, and which texts stand there on every page.  Main text is what stands in an article or main
-element where the host has them; else in the paths that hold most of the text without links.  Texts on all of ``PAGES`` or
+element where the host has them; else in all paths that aren't mostly links.  Texts on all of ``PAGES`` or
 more different pages of a host are left out in both cases, unless they are more than half of a page's main text.  Menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles and reader comments are left out by element, role or class.
 
@@ -217,8 +217,7 @@ def align(a: list, b: list) -> list:
 
 
 def main_paths(wrapper: list) -> list[str]:
-    """Paths whose texts are main text for a host without article or main elements: those with the most unlinked text,
-    and their neighbours in the same container."""
+    """Paths whose texts are main text for a host without article or main elements: all that aren't mostly links."""
     total: Counter = Counter()
     linked: Counter = Counter()
 
@@ -234,11 +233,7 @@ def main_paths(wrapper: list) -> list[str]:
     plain = {p: total[p] - linked[p] for p in total if 2 * linked[p] <= total[p]}
     if not plain:
         return sorted(total)
-    parents: Counter = Counter()
-    for p, n in plain.items():
-        parents[p.rpartition("/")[0]] += n
-    best = max(sorted(parents), key=parents.__getitem__)
-    return sorted(p for p in plain if p.rpartition("/")[0] == best or p.startswith(best + "/") or 4 * plain[p] >= parents[best])
+    return sorted(plain)
 
 
 def constants(wrapper: list) -> list[str]:
