@@ -8,6 +8,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -22,12 +23,17 @@ LOWER_ASCII = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 _shipped: set[str] = set()
 _own_dir: dict[str, str] = {}
+#: Folders that ``spool`` wrote and nothing has deleted yet, in order.
+_spooled: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``.  Where it is unset, a local session gets a temporary
+    one; on a cluster that is an error, for a driver's folder holds nothing of what executors write."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="wideleaf-")
@@ -44,15 +50,50 @@ def spool(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._wideleaf_path = path
+    _spooled.append(path)
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).delete(where, True)
+
+
 def unspool(df: DataFrame) -> None:
     """Delete what ``spool`` wrote, once nothing reads it any more."""
     if path := getattr(df, "_wideleaf_path", None):
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
+        delete(df.sparkSession, path)
+        if path in _spooled:
+            _spooled.remove(path)
+
+
+@contextmanager
+def sweeping(spark: SparkSession) -> Iterator[None]:
+    """Delete on leaving what was spooled inside: for jobs whose result is written by then."""
+    before = set(_spooled)
+    try:
+        yield
+    finally:
+        for path in [p for p in _spooled if p not in before]:
+            delete(spark, path)
+            _spooled.remove(path)
+
+
+def attach(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", *, weight: str = "n", most: int = 100_000) -> DataFrame:
+    """``left`` joined with ``right``, a table with one row for each key and in ``weight`` how many rows of ``left`` have it.
+
+    ``right`` is broadcast only if it has ``most`` rows or fewer.  Beyond, keys that hold a 4096th of the rows or more, which
+    are 4096 at most, are broadcast, so that none of them ends up in one task; the other keys are shuffled.  Both tables
+    are read more than once and must not change between: spool them first."""
+    size, total = right.agg(F.count("*"), F.coalesce(F.sum(weight), F.lit(0))).first()
+    if size <= most:
+        return left.join(F.broadcast(right), keys, how)
+    limit = total / 4096
+    hot = right.where(F.col(weight) >= limit)
+    first = left.join(F.broadcast(hot), keys, "left_semi" if how == "left_semi" else "inner")
+    others = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.where(F.col(weight) < limit), keys, how)
+    return first.unionByName(others)
 
 
 def ship(spark: SparkSession) -> None:

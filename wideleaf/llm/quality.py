@@ -3,9 +3,11 @@
 Every text gets integer metrics.  Per language and source, each metric is summed up in a mergeable
 quantile sketch: counts of log-linear buckets that keep the top seven bits of a value, so a quantile is at most
 1/64 below the true one, merging is adding counts, and the result doesn't depend on how rows are dealt.
-Fences come from the sketch's quartiles; a group of fewer than ``least`` documents takes those of its language, or of all.
-A metric that is 0 in three quarters of a group has both quartiles 0 there, so its fence is the constant slack.
-The fences are joined to the documents, and what lies outside goes.
+Fences come from the sketch's quantiles alone: the third quartile and ``REACH`` times the distance of the quartiles, or the
+quantile that the metric names as its tail, whichever is further out.  So at most that tail of a group goes by a metric:
+a hundredth by word length (on either side), repeated lines and repeated words, 15 hundredths by symbols.  A metric that
+is 0 in nearly all of a group has the fence 0 there.  A group of fewer than ``least`` documents takes the quantiles of its
+language, or of all.  The fences are joined to the documents, and what lies outside goes.
 
 Defined results: a null or empty text has no words, fails the base rules and is not kept; null languages
 and sources are groups of their own; equal rows get equal verdicts, a row each; further columns
@@ -14,17 +16,17 @@ are ignored (or carried, when rows are filtered); an empty table gives an empty
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wideleaf.llm.common import spool
+from wideleaf.llm.common import attach, spool
 
 _BLANK = r"[\x20\x09-\x0D]+"
 _BLANKS = " \t\n\x0b\f\r"
 _SYMBOLS = "#*$%&|<>"
 
-#: metric: (whether low values are rejected too, slack in the metric's unit beyond the fence)
-METRICS = {"word_centi": (True, 150), "symbol_milli": (False, 60), "dup_line_milli": (False, 300), "repeat_milli": (False, 300)}
+#: metric: (whether low values are rejected too, the tail's quantile in hundredths)
+METRICS = {"word_centi": (True, 99), "symbol_milli": (False, 85), "dup_line_milli": (False, 99), "repeat_milli": (False, 99)}
 REACH = 3
 
 
@@ -75,38 +77,38 @@ def sketch(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     return long.groupBy(*keys, "metric", bucket(F.col("value")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def quartiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, metric, n, q1, q3: the smallest buckets that reach a quarter and three quarters of the counts.
+def quantiles(sketches: DataFrame, keys: list[str], hundredths: list[int]) -> DataFrame:
+    """keys, metric, n and for each quantile ``q<hundredths>``: the smallest bucket that reaches it.
 
-    One map per group, whose size the bucket scheme bounds."""
-    maps = sketches.groupBy(*keys, "metric").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("bucket", F.col("n").alias("c")))).alias("_b"))
-
-    def reach(quarters: int) -> Column:
-        step = lambda s, x: F.struct((s["c"] + x["c"]).alias("c"), F.when(s["q"].isNull() & (4 * (s["c"] + x["c"]) >= quarters * F.col("n")), x["bucket"]).otherwise(s["q"]).alias("q"))
-        return F.aggregate("_b", F.struct(F.lit(0).cast("long").alias("c"), F.lit(None).cast("long").alias("q")), step)["q"]
-
-    return maps.select(*keys, "metric", "n", reach(1).alias("q1"), reach(3).alias("q3"))
+    A window holds the buckets of one group and metric, whose number the bucket scheme bounds."""
+    one = Window.partitionBy(*keys, "metric")
+    summed = sketches.withColumns({"total": F.sum("n").over(one), "upto": F.sum("n").over(one.orderBy("bucket"))})
+    reached = [F.min(F.when(F.expr(f"100 * upto >= {h} * total"), F.col("bucket"))).alias(f"q{h}") for h in hundredths]
+    return summed.groupBy(*keys, "metric").agg(F.max("total").alias("n"), *reached)
 
 
 def fences(measured: DataFrame, *, least: int = 100, reach: int = REACH) -> DataFrame:
-    """A row per language and source: for each metric the lowest and highest value that stays.
+    """A row per language and source: ``n``, its rows, and for each metric the lowest and highest value that stays.
 
-    Learnt from the rows that pass the base rules."""
+    Learnt from the rows that pass the base rules; a group of which none passes has no fences."""
     passing = measured.where(~F.col("base_failed"))
-    fine = sketch(passing, ["_lang", "_source"], list(METRICS))
+    fine = spool(sketch(passing, ["_lang", "_source"], list(METRICS)), "sketches")
     by_lang = fine.groupBy("_lang", "metric", "bucket").agg(F.sum("n").alias("n"))
     by_none = by_lang.groupBy("metric", "bucket").agg(F.sum("n").alias("n"))
+    levels = sorted({25, 75} | {t for _, t in METRICS.values()} | {100 - t for both, t in METRICS.values() if both})
+    names = [f"q{h}" for h in levels]
     wide = None
     for keys, table, tag in ((["_lang", "_source"], fine, "f"), (["_lang"], by_lang, "l"), ([], by_none, "a")):
-        q = quartiles(table, keys).select(*keys, "metric", F.struct("n", "q1", "q3").alias(tag))
+        q = quantiles(table, keys, levels).select(*keys, "metric", F.struct("n", *names).alias(tag))
         wide = q if wide is None else wide.join(q, [*keys, "metric"], "left")
     best = F.when(F.col("f.n") >= least, F.col("f")).when(F.col("l.n") >= least, F.col("l")).otherwise(F.col("a"))
-    rows = wide.select("_lang", "_source", "metric", best.alias("q"))
-    span = reach * (F.col("q.q3") - F.col("q.q1"))
+    rows = wide.select("_lang", "_source", "metric", F.col("f.n").alias("n"), best.alias("q"))
+    q = lambda h: F.col(f"q.q{h}")
+    span = reach * (q(75) - q(25))
     of = lambda m, c: F.max(F.when(F.col("metric") == m, c))
-    columns = [of(m, F.col("q.q3") + span + slack).alias(f"_{m}_most") for m, (_, slack) in METRICS.items()]
-    columns += [of(m, F.col("q.q1") - span - slack).alias(f"_{m}_least") for m, (both, slack) in METRICS.items() if both]
-    return rows.groupBy("_lang", "_source").agg(*columns)
+    columns = [of(m, F.greatest(q(tail), q(75) + span)).alias(f"_{m}_most") for m, (_, tail) in METRICS.items()]
+    columns += [of(m, F.least(q(100 - tail), q(25) - span)).alias(f"_{m}_least") for m, (both, tail) in METRICS.items() if both]
+    return rows.groupBy("_lang", "_source").agg(F.max("n").alias("n"), *columns)
 
 
 def _judged(docs: DataFrame, keep_row: bool) -> DataFrame:
@@ -114,7 +116,7 @@ def _judged(docs: DataFrame, keep_row: bool) -> DataFrame:
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep_row else [F.col("doc_id")]
     df = docs.select(*row, F.col("text").alias("text_"), F.coalesce(group[0], F.lit("null")).alias("_lang"), F.coalesce(group[1], F.lit("null")).alias("_source"))
     df = spool(measure(df, "text_").drop("text_"), "quality")
-    joined = df.join(fences(df), ["_lang", "_source"], "left")
+    joined = attach(df, spool(fences(df), "fences"), ["_lang", "_source"])
     good = ~F.col("base_failed")
     for m, (both, _) in METRICS.items():
         good = good & (F.col(m) <= F.col(f"_{m}_most"))

@@ -67,7 +67,7 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
 FROM f"""
 
-#: Metrics of op4 as quality.METRICS has them: name, whether low values go too, slack.
+#: Fences of op4 as quality.METRICS has them.
 OP4_SQL = r"""
 WITH t AS (SELECT doc_id, coalesce('=' || lang, 'null') AS lang, coalesce('=' || source, 'null') AS source, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
@@ -81,13 +81,12 @@ x AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 l AS (UNPIVOT (SELECT lang, source, word_centi, symbol_milli, dup_line_milli, repeat_milli FROM x WHERE NOT base_failed) ON word_centi, symbol_milli, dup_line_milli, repeat_milli INTO NAME metric VALUE v),
 b AS (SELECT lang, source, metric, (v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0) AS b FROM l),
 q AS (SELECT lang, source, metric, count(*) AS n, list(b ORDER BY b) AS s FROM b GROUP BY GROUPING SETS ((lang, source, metric), (lang, metric), (metric))),
-c AS (SELECT lang, source, metric, n, s[(n + 3) // 4] AS q1, s[(3 * n + 3) // 4] AS q3 FROM q),
-best AS (SELECT f.lang, f.source, f.metric, CASE WHEN f.n >= 100 THEN f.q1 WHEN k.n >= 100 THEN k.q1 ELSE a.q1 END AS q1, CASE WHEN f.n >= 100 THEN f.q3 WHEN k.n >= 100 THEN k.q3 ELSE a.q3 END AS q3
+c AS (SELECT lang, source, metric, n, [s[(h * n + 99) // 100] FOR h IN [1, 25, 75, 85, 99]] AS v FROM q),
+best AS (SELECT f.lang, f.source, f.metric, CASE WHEN f.n >= 100 THEN f.v WHEN k.n >= 100 THEN k.v ELSE a.v END AS v
   FROM c f JOIN c k ON k.lang = f.lang AND k.source IS NULL AND k.metric = f.metric JOIN c a ON a.lang IS NULL AND a.metric = f.metric WHERE f.source IS NOT NULL),
-slack AS (SELECT * FROM (VALUES ('word_centi', 150), ('symbol_milli', 60), ('dup_line_milli', 300), ('repeat_milli', 300)) AS v(metric, slack)),
-fence AS (SELECT lang, source, max(CASE WHEN metric = 'word_centi' THEN q1 - 3 * (q3 - q1) - slack END) AS w0, max(CASE WHEN metric = 'word_centi' THEN q3 + 3 * (q3 - q1) + slack END) AS w1,
-  max(CASE WHEN metric = 'symbol_milli' THEN q3 + 3 * (q3 - q1) + slack END) AS s1, max(CASE WHEN metric = 'dup_line_milli' THEN q3 + 3 * (q3 - q1) + slack END) AS d1, max(CASE WHEN metric = 'repeat_milli' THEN q3 + 3 * (q3 - q1) + slack END) AS r1
-  FROM best JOIN slack USING (metric) GROUP BY lang, source)
+fence AS (SELECT lang, source, max(CASE WHEN metric = 'word_centi' THEN least(v[1], v[2] - 3 * (v[3] - v[2])) END) AS w0, max(CASE WHEN metric = 'word_centi' THEN greatest(v[5], v[3] + 3 * (v[3] - v[2])) END) AS w1,
+  max(CASE WHEN metric = 'symbol_milli' THEN greatest(v[4], v[3] + 3 * (v[3] - v[2])) END) AS s1, max(CASE WHEN metric = 'dup_line_milli' THEN greatest(v[5], v[3] + 3 * (v[3] - v[2])) END) AS d1,
+  max(CASE WHEN metric = 'repeat_milli' THEN greatest(v[5], v[3] + 3 * (v[3] - v[2])) END) AS r1 FROM best GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   coalesce(NOT base_failed AND word_centi BETWEEN w0 AND w1 AND symbol_milli <= s1 AND dup_line_milli <= d1 AND repeat_milli <= r1, false) AS kept
 FROM x LEFT JOIN fence USING (lang, source)"""
