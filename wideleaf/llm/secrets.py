@@ -5,10 +5,13 @@ data in it are unwrapped, each into a further layer, which is scanned and unwrap
 layer appears.  A layer seen before at the same place is not taken up again, so cycles end.  Each
 character of a layer knows the span of the original text it comes from.
 
+The shortest secret has 12 characters (``token:`` and six more) and no encoding is shorter than what it encodes, so
+blobs of under 16 characters and stretches of under 12 can't hold one.
+
 A base64 blob may touch other characters of its alphabet (a path, a word before a hyphen) and may be wrapped over lines:
 lines are joined, and each run is decoded from its first four characters on, as every group of four stands for
-itself.  In what is decoded, stretches of text and compressed members are looked for wherever they begin; members
-that follow one another are one layer.
+itself.  In what is decoded, stretches of text (also of two bytes a character) and compressed members (gzip, zlib, bzip2, xz) are
+looked for wherever they begin, a bare deflate stream at the start; members that follow one another are one layer.
 
 Defined results: a null or empty text holds no secrets; rows of equal text are scanned separately and
 alike; further columns are ignored (or carried, when rows are redacted).  ``max_unpacked`` bounds
@@ -47,6 +50,8 @@ _ENDS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 #: Text of as many bytes as the shortest secret has.
 _STRETCH = re.compile(rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){12,}")
 _MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\0")
+#: The same as text of two bytes a character, low or high byte first.
+_WIDE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\0){12,}|(?:\0[\t\n\r\x20-\x7e]){12,}")
 _ODD = re.compile(r"[^\x09\x0a\x0d\x20-\x7e\x80-\U0010ffff]|[\x80-\x9f�]")
 
 Span = tuple[str, int, int]
@@ -72,10 +77,8 @@ def _substituted(text: str, pattern: re.Pattern, decode) -> tuple[str, list[int]
     """``text`` with the matches decoded, and for each character the start and end it comes from."""
     out, starts, ends, last, changed = [], [], [], 0, False
     for m in pattern.finditer(text):
-        if (made := decode(m[0])) is None:
-            continue
         changed = True
-        plain, widths = made
+        plain, widths = decode(m[0])
         out += [text[last : m.start()], plain]
         cuts = list(accumulate(widths, initial=m.start()))
         starts += [*range(last, m.start()), *cuts[:-1]]
@@ -86,29 +89,25 @@ def _substituted(text: str, pattern: re.Pattern, decode) -> tuple[str, list[int]
     return "".join([*out, text[last:]]), [*starts, *range(last, len(text))], [*ends, *range(last + 1, len(text) + 1)]
 
 
-def _from_url(run: str) -> tuple[str, list[int]] | None:
-    """The decoded text, and of how many characters of the run each of its characters is made."""
-    try:
-        plain = bytes.fromhex(run.replace("%", "")).decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return plain, [3 * len(c.encode()) for c in plain]
+def _from_url(run: str) -> tuple[str, list[int]]:
+    """The decoded text, and of how many characters of the run each of its characters is made; a byte that is no UTF-8 stays one
+    character, a lone surrogate."""
+    plain = bytes.fromhex(run.replace("%", "")).decode("utf-8", "surrogateescape")
+    return plain, [3 if 0xDC80 <= ord(c) <= 0xDCFF else 3 * len(c.encode("utf-8", "surrogatepass")) for c in plain]
 
 
-def _from_escapes(run: str) -> tuple[str, list[int]] | None:
-    units = [(chr(c), len(m[0])) for m in _ESCAPED.finditer(run) if (c := int(m[1] or m[2] or m[3], 16)) < 0x110000]
-    try:
-        plain = "".join(c for c, _ in units).encode("utf-16-le", "surrogatepass").decode("utf-16-le")
-    except UnicodeDecodeError:
-        return None
-    widths = [w for _, w in units]
-    k = 0
-    for c in plain:  # two escapes of a surrogate pair are one character
-        if ord(c) > 0xFFFF and 0xD800 <= ord(units[k][0]) < 0xDC00:
-            widths[k : k + 2] = [sum(widths[k : k + 2])]
-            del units[k]
-        k += 1
-    return plain, widths
+def _from_escapes(run: str) -> tuple[str, list[int]]:
+    """The same for backslash escapes: two of a surrogate pair are one character, numbers beyond Unicode are U+FFFD."""
+    out, widths = [], []
+    for m in _ESCAPED.finditer(run):
+        code = int(m[1] or m[2] or m[3], 16)
+        if out and 0xDC00 <= code < 0xE000 and 0xD800 <= out[-1] < 0xDC00:
+            out[-1] = 0x10000 + (out[-1] - 0xD800 << 10) + (code - 0xDC00)
+            widths[-1] += len(m[0])
+        else:
+            out.append(code if code < 0x110000 else 0xFFFD)
+            widths.append(len(m[0]))
+    return "".join(map(chr, out)), widths
 
 
 def _unpack(data: memoryview, most: int) -> tuple[bytes, int | None] | None:
@@ -159,6 +158,17 @@ def _members(data: bytes, most: int) -> Iterator[tuple[bytes | None, int, int]]:
         end = at + found[1]
     if chain:
         yield b"".join(chain), begin, end
+    elif data and not data.isascii():
+        # A bare deflate stream has no magic: one that begins the data and comes to its proper end is taken for one.
+        machine = zlib.decompressobj(-15)
+        try:
+            made = machine.decompress(data, most + 1)
+        except zlib.error:
+            return
+        if machine.eof and len(made) >= 12:
+            yield (made if len(made) <= most else None), 0, len(data) - len(machine.unused_data)
+        elif len(made) > most:
+            yield None, 0, len(data)
 
 
 def _plain(data: bytes) -> str | None:
@@ -177,6 +187,9 @@ def _stretches(data: bytes) -> Iterator[tuple[str, int, int]]:
         return
     for m in _STRETCH.finditer(data):
         yield m[0].decode("utf-8", "replace"), *m.span()
+    if b"\0" in data:
+        for m in _WIDE.finditer(data):
+            yield m[0].replace(b"\0", b"").decode("ascii"), *m.span()
 
 
 def _joined(layer: str) -> tuple[str, list[int], list[int]]:
