@@ -80,13 +80,13 @@ def sweeping(spark: SparkSession) -> Iterator[None]:
             _spooled.remove(path)
 
 
-def attach(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", *, weight: str = "n", most: int = 100_000) -> DataFrame:
+def attach(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", *, weight: str = "n", cost: Column | None = None, most: int = 100_000) -> DataFrame:
     """``left`` joined with ``right``, a table with one row for each key and in ``weight`` how many rows of ``left`` have it.
 
-    ``right`` is broadcast only if it has ``most`` rows or fewer.  Beyond, keys that hold a 4096th of the rows or more, which
+    ``right`` is broadcast only if it has ``most`` rows or fewer (or its rows cost no more together).  Beyond, keys that hold a 4096th of the rows or more, which
     are 4096 at most, are broadcast, so that none of them ends up in one task; the other keys are shuffled.  Both tables
     are read more than once and must not change between: spool them first."""
-    size, total = right.agg(F.count("*"), F.coalesce(F.sum(weight), F.lit(0))).first()
+    size, total = right.agg(F.coalesce(F.sum(F.lit(1) if cost is None else cost), F.lit(0)), F.coalesce(F.sum(weight), F.lit(0))).first()
     if size <= most:
         return left.join(F.broadcast(right), keys, how)
     limit = total / 4096
