@@ -1,9 +1,11 @@
 """Benchmark decontamination with a generalised suffix automaton over words.
 
-The test items are a stated query set: they are read on the driver, cut into blocks of at most
-``block_words`` words, and one automaton per block goes to the executors (bounded by the block
-size).  Each document streams through the automaton once, tracking the length of the longest
-suffix that occurs in some item; wherever that length reaches the window, its words are hit.
+The test items are a stated query set.  Tasks cut them into blocks of at most ``block_words`` words and build an automaton of
+each (an item that is longer goes to several blocks, in parts that overlap by a window less one word); the driver only
+passes a finished block on, whose size the block size bounds.  Each document streams through the automaton once, tracking the
+length of the longest suffix that occurs in some item; wherever that length reaches the window, its words are hit.  With
+one block, that is one pass without a shuffle.  With more, documents get ids and are written once, each block lists the hits it
+finds in them, and only these are shuffled and merged by document.
 
 Defined results: a null or empty text has no words and no hits; an item without words matches
 nothing; an item with fewer words than the window is one window; rows of equal text are judged
@@ -15,14 +17,20 @@ are cleaned).
 from __future__ import annotations
 
 import hashlib
+import math
+import pickle
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wideleaf.llm.common import map_batches, merge_spans, spool
+from wideleaf.llm.common import attach, map_batches, merge_spans, row_id, spool
 
 WINDOW = 10
 #: A-Z to a-z; every other ASCII byte that is no letter or digit becomes a blank.
@@ -44,8 +52,6 @@ class SuffixAutomaton:
         self.step: list[dict[int, int]] = [{}]
         self.link: list[int] = [-1]
         self.length: list[int] = [0]
-        self.ends: list[list[int]] = [[]]
-        self.whole: list[list[tuple[int, int]]] = [[]]
         self.names: list[str | None] = []
         self.sequences: list[tuple[int, list[bytes]]] = []
 
@@ -84,8 +90,6 @@ class SuffixAutomaton:
         self.step.append(step)
         self.link.append(0)
         self.length.append(length)
-        self.ends.append([])
-        self.whole.append([])
         return len(self.step) - 1
 
     def add(self, name: str | None, sequence: list[bytes]) -> None:
@@ -97,41 +101,75 @@ class SuffixAutomaton:
             last = self._grow(last, self.vocabulary.setdefault(w, len(self.vocabulary)))
         self.sequences.append((item, sequence))
 
-    def seal(self) -> SuffixAutomaton:
-        """After the last ``add``: note which items end in which states, and where short items are whole."""
-        short: list[list[tuple[int, int]]] = [[] for _ in self.step]
-        for item, sequence in self.sequences:
+    def seal(self) -> Matcher:
+        """After the last ``add``: the automaton in flat arrays."""
+        return Matcher(self)
+
+
+_SEVERAL = -2
+
+
+class Matcher:
+    """A finished automaton.  Most states have one transition, which stands in two arrays; those of the others are in one
+    dictionary.  States are numbered along the tree of suffix links too, so that the items below a state are a range."""
+
+    def __init__(self, made: SuffixAutomaton):
+        self.window, self.vocabulary, self.names = made.window, made.vocabulary, made.names
+        size = len(made.step)
+        self.link, self.length = array("i", made.link), array("i", made.length)
+        self.word, self.next = array("i", [-1]) * size, array("i", [-1]) * size
+        self.several: dict[int, int] = {}
+        for s, step in enumerate(made.step):
+            if len(step) == 1:
+                ((self.word[s], self.next[s]),) = step.items()
+            elif step:
+                self.word[s] = _SEVERAL
+                self.several.update((s << 32 | w, t) for w, t in step.items())
+        children: dict[int, list[int]] = {}
+        for s in range(1, size):
+            children.setdefault(made.link[s], []).append(s)
+        #: For each state its place in the tree and the end of the range of those below it.
+        self.place, self.end = array("i", [0]) * size, array("i", [0]) * size
+        todo, count = [0], 0
+        while todo:
+            s = todo.pop()
+            if s < 0:
+                self.end[~s] = count
+                continue
+            self.place[s] = count
+            count += 1
+            todo.append(~s)
+            todo += children.get(s, ())
+        #: Of items under the window: length and item, at the state where they end.
+        self.short: dict[int, list[tuple[int, int]]] = {}
+        ends = []
+        for item, sequence in made.sequences:
             at = 0
             for w in sequence:
-                at = self.step[at][self.vocabulary[w]]
-                self.ends[at].append(item)
+                at = made.step[at][self.vocabulary[w]]
+                ends.append((self.place[at], item))
             if len(sequence) < self.window:
-                short[at].append((len(sequence), item))
-        self.sequences = []
-        self.children: list[list[int]] = [[] for _ in self.step]
-        self.shortest = [1 << 60] * len(self.step)
-        for s in sorted(range(1, len(self.step)), key=self.length.__getitem__):
-            self.children[self.link[s]].append(s)
-            short[s] += short[self.link[s]]
-            self.shortest[s] = min((k for k, _ in short[s]), default=1 << 60)
-        self.short = short
+                self.short.setdefault(at, []).append((len(sequence), item))
+        ends.sort()
+        self.end_place, self.end_item = array("i", [p for p, _ in ends]), array("i", [i for _, i in ends])
+        #: The nearest state up the links, from each state on, at which a short item ends, or -1; and the shortest of all up there.
+        self.above, self.shortest = array("i", [-1]) * size, array("i", [2**31 - 1]) * size
+        for s in sorted(range(1, size), key=made.length.__getitem__):
+            up = made.link[s]
+            self.above[s] = s if s in self.short else self.above[up]
+            self.shortest[s] = min([self.shortest[up], *(k for k, _ in self.short.get(s, ()))])
         self._items: dict[int, frozenset[int]] = {}
-        return self
 
     def items(self, state: int) -> frozenset[int]:
         """The items that hold the substrings of ``state``."""
         if state not in self._items:
-            found, todo = set(), [state]
-            while todo:
-                s = todo.pop()
-                found.update(self.ends[s])
-                todo += self.children[s]
-            self._items[state] = frozenset(found)
+            a, b = bisect_left(self.end_place, self.place[state]), bisect_left(self.end_place, self.end[state])
+            self._items[state] = frozenset(self.end_item[a:b])
         return self._items[state]
 
     def scan(self, sequence: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
         """The merged spans of words that lie in an occurring window, and the items these windows come from."""
-        step, link, length, shortest, window = self.step, self.link, self.length, self.shortest, self.window
+        word, following, several, link, length, shortest, window = self.word, self.next, self.several, self.link, self.length, self.shortest, self.window
         spans: list[list[int]] = []
         states: set[int] = set()
         items: set[int] = set()
@@ -140,11 +178,12 @@ class SuffixAutomaton:
             if w is None:
                 s = n = 0
                 continue
-            t = step[s].get(w)
-            while t is None and s:
+            while True:
+                t = following[s] if (x := word[s]) == w else several.get(s << 32 | w) if x == _SEVERAL else None
+                if t is not None or not s:
+                    break
                 s = link[s]
                 n = length[s]
-                t = step[s].get(w)
             if t is None:
                 n = 0
                 continue
@@ -160,10 +199,13 @@ class SuffixAutomaton:
                 reach = 0
             else:
                 continue
-            for k, item in self.short[s]:
-                if k <= n:
-                    items.add(item)
-                    reach = max(reach, k)
+            u = self.above[s]
+            while u > 0:
+                for k, item in self.short[u]:
+                    if k <= n:
+                        items.add(item)
+                        reach = max(reach, k)
+                u = self.above[link[u]]
             if reach:
                 start = i + 1 - reach
                 while spans and start <= spans[-1][1]:
@@ -174,45 +216,90 @@ class SuffixAutomaton:
         return [(a, b) for a, b in spans], items
 
 
-def automata(benchmark: DataFrame, window: int = WINDOW, block_words: int = 500_000) -> list[SuffixAutomaton]:
-    """One sealed automaton per block of the stated items."""
-    out, size = [SuffixAutomaton(window)], 0
-    for name, text in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).toLocalIterator():
-        sequence = words(text)
-        if size and size + len(sequence) > block_words:
-            out.append(SuffixAutomaton(window))
-            size = 0
-        out[-1].add(name, sequence)
-        size += len(sequence)
-    return [a.seal() for a in out]
+def _pieces(sequence: list[bytes], window: int, block_words: int) -> Iterator[list[bytes]]:
+    """``sequence``, cut so that every window lies in a piece of at most ``block_words`` words."""
+    if len(sequence) <= block_words:
+        yield sequence
+        return
+    for k in range(0, len(sequence) - window + 1, block_words - window + 1):
+        yield sequence[k : k + block_words]
+
+
+def automata(benchmark: DataFrame, window: int = WINDOW, block_words: int = 100_000) -> DataFrame:
+    """block and data, a row per finished automaton of at most ``block_words`` words, spooled."""
+    block_words = max(block_words, 2 * window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, made, size = TaskContext.get().partitionId() << 32, SuffixAutomaton(window), 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([pickle.dumps(made.seal(), 5)], pa.binary())], ["block", "data"])
+
+        for rows in batches:
+            for name, text in zip(rows.column("name").to_pylist(), rows.column("text").to_pylist()):
+                for piece in _pieces(words(text), window, block_words):
+                    if size and size + len(piece) > block_words:
+                        yield batch()
+                        number, made, size = number + 1, SuffixAutomaton(window), 0
+                    made.add(name, piece)
+                    size += len(piece)
+        if size:
+            yield batch()
+
+    items = benchmark.select(F.col("item_id").cast("string").alias("name"), F.col("text").cast("string").alias("text"))
+    volume = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = math.ceil(volume / 6 / block_words)
+    return spool(map_batches(items.repartition(parts) if parts > 1 else items.coalesce(1), run, "block long, data binary"), "automata")
+
+
+_HIT = "spans array<struct<a:long,b:long>>, items array<string>"
+_FOUND = f"{_HIT}, n_words long"
+_SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+
 
+def _scanned(matcher: Matcher, sequence: list[bytes]) -> tuple[list[tuple[int, int]], list[str]]:
+    hit, items = matcher.scan(sequence)
+    return hit, sorted({matcher.names[i] for i in items} - {None})
 
-_FOUND = "spans array<struct<a:long,b:long>>, items array<string>, n_words long"
 
+def _batch(rows: pa.Array, texts: pa.Array, spans: list, names: list, counts: list[int]) -> pa.RecordBatch:
+    found = [pa.array([[{"a": a, "b": b} for a, b in x] for x in spans], _SPANS), pa.array(names, pa.list_(pa.string())), pa.array(counts, pa.int64())]
+    return pa.RecordBatch.from_arrays([rows, texts, *found], ["row", "text", "spans", "items", "n_words"])
+
+
+def _finder(shared):
+    """All that is found in each document, for a benchmark of one block."""
 
-def _finder(shared, first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton: SuffixAutomaton = shared.value
+        matcher: Matcher = pickle.loads(shared.value)
         for batch in batches:
-            cols = {k: batch.column(k) for k in batch.schema.names}
-            spans, names, counts = [], [], []
-            old = None if first else (cols["spans"].to_pylist(), cols["items"].to_pylist())
-            for k, text in enumerate(cols["text"].to_pylist()):
-                sequence = words(text)
-                hit, items = automaton.scan(sequence)
-                own = {automaton.names[i] for i in items} - {None}
-                if old:
-                    hit = merge_spans([*hit, *((x["a"], x["b"]) for x in old[0][k])])
-                    own |= set(old[1][k])
-                spans.append([{"a": a, "b": b} for a, b in hit])
-                names.append(sorted(own))
-                counts.append(len(sequence))
-            found = [pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array(names, pa.list_(pa.string())), pa.array(counts, pa.int64())]
-            yield pa.RecordBatch.from_arrays([cols["row"], cols["text"], *found], ["row", "text", "spans", "items", "n_words"])
+            sequences = [words(t) for t in batch.column("text").to_pylist()]
+            found = [_scanned(matcher, x) for x in sequences]
+            yield _batch(batch.column("row"), batch.column("text"), [x for x, _ in found], [x for _, x in found], [len(x) for x in sequences])
 
     return run
 
 
+def _lister(shared):
+    """The hits of one of several blocks: rid, spans and items of the documents that have some."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher: Matcher = pickle.loads(shared.value)
+        for batch in batches:
+            found = [(rid, *_scanned(matcher, words(t))) for rid, t in zip(batch.column("rid").to_pylist(), batch.column("text").to_pylist())]
+            found = [x for x in found if x[1]]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([[{"a": a, "b": b} for a, b in x[1]] for x in found], _SPANS), pa.array([x[2] for x in found], pa.list_(pa.string()))], ["rid", "spans", "items"])
+
+    return run
+
+
+def _merger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        spans = [merge_spans([(x["a"], x["b"]) for x in found or ()]) for found in batch.column("spans").to_pylist()]
+        names = [sorted(set(found or ())) for found in batch.column("items").to_pylist()]
+        yield _batch(batch.column("row"), batch.column("text"), spans, names, [len(words(t)) for t in batch.column("text").to_pylist()])
+
+
 _Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
@@ -220,23 +307,26 @@ def _chain(first: _Batches, second: _Batches) -> _Batches:
     return lambda batches: second(first(batches))
 
 
-def find(docs: DataFrame, benchmark: DataFrame, *, columns: list[str] | None = None, window: int = WINDOW, block_words: int = 500_000, then: tuple[_Batches, str] | None = None) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, *, columns: list[str] | None = None, window: int = WINDOW, block_words: int = 100_000, then: tuple[_Batches, str] | None = None) -> DataFrame:
     """Per document: ``row`` (its columns, or those named), ``text``, hit word ``spans``, ``items`` found and ``n_words``.
 
     ``then`` (a function on these batches, and what it returns beside ``row``) follows in the same Python worker, so a
     task needs one of them, not two."""
-    spark = docs.sparkSession
-    blocks = automata(benchmark, window, block_words)
+    context = docs.sparkSession.sparkContext
+    built = automata(benchmark, window, block_words)
+    blocks = sorted(r.block for r in built.select("block").collect())
+    # A finished block passes through the driver, one at a time.
+    shared = [context.broadcast(bytes(built.where(F.col("block") == k).first().data)) for k in blocks] or [context.broadcast(pickle.dumps(SuffixAutomaton(window).seal(), 5))]
     df = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns or docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
     kind = df.schema["row"].dataType.simpleString()
-    for k, automaton in enumerate(blocks):
-        finder, last = _finder(spark.sparkContext.broadcast(automaton), not k), k + 1 == len(blocks)
-        if last and then:
-            return map_batches(df, _chain(finder, then[0]), f"row {kind}, {then[1]}")
-        df = map_batches(df, finder, f"row {kind}, text string, {_FOUND}")
-        if not last:
-            df = spool(df, "decontaminate")
-    return df
+    if len(shared) == 1:
+        last = _finder(shared[0])
+    else:
+        df = spool(df.withColumn("rid", row_id()), "decontaminate")
+        hits = reduce(DataFrame.unionByName, [map_batches(df.select("rid", "text"), _lister(x), f"rid long, {_HIT}") for x in shared])
+        merged = spool(hits.groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"), F.lit(1).alias("one")), "hits")
+        df, last = attach(df, merged, ["rid"], weight="one").select("row", "text", "spans", "items"), _merger
+    return map_batches(df, _chain(last, then[0]), f"row {kind}, {then[1]}") if then else map_batches(df, last, f"row {kind}, text string, {_FOUND}")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
