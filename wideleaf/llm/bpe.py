@@ -19,6 +19,7 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -27,6 +28,9 @@ from pyspark.sql import functions as F
 from wideleaf.llm.common import map_batches
 
 
+#: Pieces go through the transducer in chunks of as many bytes.
+CHUNK = 256
+
 #: Fixed value: the published split pattern of this vocabulary, for which texts may be cut before single blanks.
 GPT2_LIKE = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _RUNS = re.compile(r"[\t\n\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
@@ -166,35 +170,29 @@ class Transducer:
             return [whole]
         if len(self.keys) > self.max_states:
             self._forget()
-        states, last, size, out = self.run(0, piece), self.last, self.size, []
-        at = len(piece) - 1
-        while at >= 0:
-            s = states[at]
-            out.append(last[s])
-            at -= size[s]
-        out.reverse()
-        return out
+        return [t for part in self.stream(piece[k : k + CHUNK] for k in range(0, len(piece), CHUNK)) for t in part]
 
     def stream(self, chunks: Iterable[bytes]) -> Iterator[list[int]]:
         """The tokens of one piece that arrives in chunks, each as soon as no byte to come can change it: the
-        encodings up to all open positions agree on it.  What waits is bounded by the longest token."""
+        encodings up to all open positions agree on it.  What waits is bounded by the longest token and a chunk."""
         state, waiting = 0, []
         for chunk in chunks:
-            for byte in chunk:
-                following = self.step.get(state << 8 | byte)
-                state = self._make(state, byte) if following is None else following
-                waiting.append(state)
-            # Back from each open position by whole tokens; all agree from the last cut that they share.
-            shared = None
-            for packed in self.keys[state]:
-                at, cuts = len(waiting) - self._depth(packed >> 32), []
-                while at > 0:
-                    cuts.append(at)
-                    at -= self.size[waiting[at - 1]]
-                shared = set(cuts) if shared is None else shared & set(cuts)
-            if shared:
-                yield self._back(waiting, max(shared))
-                del waiting[: max(shared)]
+            if waiting:
+                # Back from each open position by whole tokens; all agree from the last cut that they share.
+                shared = None
+                for packed in self.keys[state]:
+                    at, cuts = len(waiting) - self._depth(packed >> 32), []
+                    while at > 0:
+                        cuts.append(at)
+                        at -= self.size[waiting[at - 1]]
+                    shared = set(cuts) if shared is None else shared & set(cuts)
+                if shared:
+                    yield self._back(waiting, max(shared))
+                    del waiting[: max(shared)]
+            states = self.run(state, chunk)
+            if states:
+                state = states[-1]
+                waiting += states
         if waiting:
             yield self._back(waiting, len(waiting))
 
@@ -318,8 +316,9 @@ def _vocabulary(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, *, with_ids: bool = False) -> DataFrame:
-    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids.
+def encode(docs: DataFrame, vocabulary: str, pattern: str, *, with_ids: bool = False, columns: list[str] = ()) -> DataFrame:
+    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids and further ``columns`` of ``docs``
+    (those of other names than these).
 
     ``vocabulary`` is the path of a rank file on the driver; its bytes (a bounded size) are broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(_vocabulary(vocabulary))
@@ -327,33 +326,47 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, *, with_ids: bool = F
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(shared.value, pattern)
         gc.disable()  # the memos hold millions of objects without cycles; walking them again and again costs more than the work
+        try:
+            yield from encoded(own, batches)
+        finally:
+            own.memo.forget()  # an idle worker should not hold them
+            own.words.forget()
+            gc.enable()
+
+    def encoded(own: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, hashes, decoded, kept = [], [], [], []
+            counts, hashes, decoded, kept, sizes = [], [], [], [], [0]
             for text in batch.column("text").to_pylist():
                 joined = own.encode_decimal(text) if text else ""
                 ids = joined.split()
                 back = hashlib.sha256()
                 machine = Utf8Machine("strict")
                 for chunk in own.decode_chunks(ids):
-                    machine.feed(chunk)
-                    back.update(chunk)
+                    back.update(machine.feed(chunk).encode())
+                back.update(machine.feed(b"", last=True).encode())
                 counts.append(len(ids))
                 hashes.append(hashlib.sha256(joined.encode()).hexdigest())
                 decoded.append(back.hexdigest())
                 if with_ids:
-                    kept.append(pa.array(map(int, ids), pa.int32()))
+                    kept.append(np.fromstring(joined, np.int32, sep=" ") if joined else np.zeros(0, np.int32))
+                    sizes.append(sizes[-1] + len(ids))
             arrays = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                arrays.append(pa.array([x.to_pylist() for x in kept], pa.list_(pa.int32())))
+                arrays.append(pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *kept]))))
                 names.append("ids")
+            if carried:
+                arrays.append(batch.column("row"))
+                names.append("row")
             yield pa.RecordBatch.from_arrays(arrays, names)
-        own.memo.forget()  # an idle worker should not hold them
-        own.words.forget()
-        gc.enable()
 
-    df = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return map_batches(df, run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    made = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
+    carried = [c for c in columns if c not in ("doc_id", *made)]
+    row = [F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row")] if carried else []
+    df = docs.select("doc_id", F.col("text").cast("string").alias("text"), *row)
+    schema = f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    out = map_batches(df, run, schema + (f", row {df.schema['row'].dataType.simpleString()}" if carried else ""))
+    return out.select("doc_id", *made, *[F.col(f"row.`{c}`").alias(c) for c in carried])
 
 
 def decode(encoded: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
