@@ -365,7 +365,12 @@ def _keys(code: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(6), len(code), [None, pa.py_buffer(out.tobytes())]).cast(pa.binary())
 
 
+_PARTS = ["rid", "word", "n", "base", "known", "tokens", "size", "score", "doc_id"]
+
+
 def _scoring(shared, key: str):
+    """For each document a row of its own, with its id, and one for each word and context that isn't looked up here."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, frequent, tokens, types = shared.value
         if key not in _tables:
@@ -374,6 +379,7 @@ def _scoring(shared, key: str):
             _tables[key] = (Lookup(*grams), {w: math.log10(c + 0.1) - norm for w, c in frequent.items()})
         lookup, logs = _tables[key]
         for batch in batches:
+            kind = batch.schema.field("doc_id").type
             rids = batch.column("rid").to_pylist()
             data = [_bytes(t) for t in batch.column("text").to_pylist()]
             if not data:
@@ -393,11 +399,11 @@ def _scoring(shared, key: str):
                     own = np.searchsorted(starts, missing, "right") - 1
                     pairs, n = np.unique(own.astype(np.uint64) << np.uint64(40) | code[missing], return_counts=True)
                     row, size = np.array(rids[first:last])[(pairs >> np.uint64(40)).astype(np.int64)], len(pairs)
-                    arrays = [pa.array(row, pa.int64()), _keys(pairs & np.uint64((1 << 40) - 1)), pa.array(n, pa.int64()), pa.array(np.zeros(size)), *[pa.array(np.zeros(size, np.int64))] * 2, pa.array(np.zeros(size))]
-                    yield pa.RecordBatch.from_arrays(arrays, ["rid", "word", "n", "base", "known", "tokens", "score"])
+                    arrays = [pa.array(row, pa.int64()), _keys(pairs & np.uint64((1 << 40) - 1)), pa.array(n, pa.int64()), pa.array(np.zeros(size)), *[pa.array(np.zeros(size, np.int64))] * 3, pa.array(np.zeros(size)), pa.nulls(size, kind)]
+                    yield pa.RecordBatch.from_arrays(arrays, _PARTS)
                 first = last
-            out: dict[str, list] = {k: [] for k in ("rid", "word", "n", "base", "known", "tokens")}
-            for rid, d in zip(rids, data):
+            out: dict[str, list] = {k: [] for k in ("rid", "word", "n", "base", "known", "tokens", "size", "doc")}
+            for rid, d, doc in zip(rids, data, batch.column("doc_id").to_pylist()):
                 found = Counter(d.split())
                 found[b""] = 1
                 total = sum(found.values())
@@ -416,10 +422,12 @@ def _scoring(shared, key: str):
                 out["base"] += [0.0] * rare + [sums]
                 out["known"] += [0] * rare + [known]
                 out["tokens"] += [0] * rare + [total]
+                out["size"] += [0] * rare + [len(d) + 1]
+                out["doc"] += [None] * rare + [doc]
             score = np.zeros(len(out["rid"]))
             score[np.flatnonzero(np.array(out["n"]) == 0)] = scores
-            arrays = [pa.array(out["rid"], pa.int64()), pa.array(out["word"], pa.binary()), pa.array(out["n"], pa.int64()), pa.array(out["base"], pa.float64()), pa.array(out["known"], pa.int64()), pa.array(out["tokens"], pa.int64()), pa.array(score)]
-            yield pa.RecordBatch.from_arrays(arrays, ["rid", "word", "n", "base", "known", "tokens", "score"])
+            arrays = [pa.array(out["rid"], pa.int64()), pa.array(out["word"], pa.binary()), pa.array(out["n"], pa.int64()), pa.array(out["base"], pa.float64()), pa.array(out["known"], pa.int64()), pa.array(out["tokens"], pa.int64()), pa.array(out["size"], pa.int64()), pa.array(score), pa.array(out["doc"], kind)]
+            yield pa.RecordBatch.from_arrays(arrays, _PARTS)
 
     return run
 
@@ -430,7 +438,8 @@ def score(docs: DataFrame, trained: Trained) -> DataFrame:
     ids = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.col("text").cast("string").alias("text"))
     shared = spark.sparkContext.broadcast((trained.frequent_grams, trained.frequent, trained.tokens, trained.types))
     key = f"{spark.sparkContext.applicationId}-{shared._jbroadcast.id() if shared._jbroadcast else id(shared)}"
-    parts = map_batches(ids.select("rid", "text"), _scoring(shared, key), "rid long, word binary, n long, base double, known long, tokens long, score double")
+    kind = ids.schema["doc_id"].dataType.simpleString()
+    parts = map_batches(ids, _scoring(shared, key), f"rid long, word binary, n long, base double, known long, tokens long, size long, score double, doc_id {kind}")
     rare = trained.counts.where((F.col("n") < trained.least) | (F.octet_length("word") > LONG_WORD)).where("word is not null").select("word", F.col("n").alias("c"), F.lit(None).cast("float").alias("p"))
     mark = F.lit("\n").cast("binary")
     deep = trained.grams.where(F.col("n") < trained.least_gram).select(F.concat(mark, F.unhex(F.lpad(F.hex("code"), 10, "0"))).alias("word"), F.lit(None).cast("long").alias("c"), "p")
@@ -438,11 +447,10 @@ def score(docs: DataFrame, trained: Trained) -> DataFrame:
     c, is_word = F.coalesce(F.col("c"), F.lit(0)), ~F.col("word").startswith(mark)
     joined = parts.join(rare.unionByName(deep), "word", "left").groupBy("rid").agg(
         F.sum(F.when(is_word, F.col("base") + F.col("n") * (F.log10(c + F.lit(0.1)) - norm)).otherwise(0)).alias("base_score"), F.sum(F.col("known") + F.when(c > 0, F.col("n")).otherwise(0)).alias("n_known"),
-        F.sum("tokens").alias("n_tokens"), F.sum(F.col("score") + F.when(is_word, 0).otherwise(F.col("n") * F.col("p"))).alias("score"),
+        F.max("doc_id").alias("doc_id"), F.sum("size").alias("size"), F.sum("tokens").alias("n_tokens"), F.sum(F.col("score") + F.when(is_word, 0).otherwise(F.col("n") * F.col("p"))).alias("score"),
     )
-    names = ids.select("rid", "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("size"))
     bits = -F.col("score") * math.log2(10) / F.col("size")
-    return names.join(joined, "rid").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(trained.tokens).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))
+    return joined.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(trained.tokens).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))
 
 
 def report(docs: DataFrame) -> DataFrame:
