@@ -6,7 +6,8 @@ splitter is not near enough to its goal and more than one row is left to part, o
 When all splitters meet the tolerance (or stand between two rows), the rows are exchanged once.
 
 Law ``bytes``: a row weighs the UTF-8 bytes of its text (null: none) plus 1; the bytes below each splitter differ from
-their goal by at most ``tolerance`` of a shard, or by one row.  Defined results: null ids and texts
+their goal by at most ``tolerance`` of a shard, or by one row.  Copies of a text stand together in the order, so they share a
+shard, but for a group that a border must part to meet the tolerance: its rows are told apart by id.  Defined results: null ids and texts
 are keys like others; rows equal in id and text are told apart by their place and never lost; an empty
 table gives an empty result; further columns are carried by ``shard`` (its own come in ``_shard``, a struct).
 """
