@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from wideleaf.llm import bpe, decontaminate, quality, secrets, similar
-from wideleaf.llm.common import read, spool_path
+from wideleaf.llm.common import delete, read, spool_path, sweeping
 from wideleaf.llm.queries import VOCABULARY
 
 
@@ -30,10 +30,10 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and of the text decoded from them."""
+    """The documents with their token ids, their number, and digests of the ids and of the text decoded from them."""
     import public_tokenizers
 
-    return bpe.encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    return bpe.encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, with_ids=True, columns=docs.columns)
 
 
 STAGES = [("quality rules", quality_rules), ("n-gram jaccard join", near_duplicates), ("benchmark decontamination", decontamination), ("secret scans", secret_redaction), ("byte-level bpe", encoding)]
@@ -43,10 +43,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over documents, each written as Parquet and read again.
+
+    What a stage spooled goes when its rows are written, and these go when the next stage's are."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = spool_path(spark, name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with sweeping(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
