@@ -199,7 +199,7 @@ def _in_blocks(df: DataFrame, key: str, size: int) -> DataFrame:
     return dealt.select(path.alias("path"), side.alias("side"), *[c for c in df.columns if c not in (key, "n")])
 
 
-def components(links: DataFrame, *, plain: int = 1_000_000) -> DataFrame:
+def components(links: DataFrame, *, plain: int = 16_384) -> DataFrame:
     """(node, label) of all nodes in ``links`` (a, b): label is the smallest node connected.  Alternates large and small stars
     until nothing changes, which takes a number of rounds that grows with the logarithm of the nodes.
 
