@@ -265,10 +265,6 @@ class Codec:
                 self[piece] = ids
                 return ids
 
-            def forget(self) -> None:
-                self.clear()
-                self.older = {}
-
         self.memo = Memo(lambda piece: " ".join(map(str, self.transducer.encode_piece(piece.encode("utf-8", "surrogatepass")))))
         #: The same for what stands between single blanks, each with the blank before it.
         self.words = Memo(lambda word: " ".join(map(self.memo.__getitem__, self.pattern.findall(" " + word))))
@@ -329,8 +325,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, *, with_ids: bool = F
         try:
             yield from encoded(own, batches)
         finally:
-            own.memo.forget()  # an idle worker should not hold them
-            own.words.forget()
+            _codecs.clear()  # an idle worker should not hold states and memos; a codec is made in a tenth of a second
             gc.enable()
 
     def encoded(own: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -44,10 +44,15 @@ def spool_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/wideleaf/{name}-{uuid.uuid4().hex}"
 
 
+def write(df: DataFrame, path: str) -> None:
+    """A writer holds a row group in memory: of texts, smaller ones than Parquet's own 128 MiB will do."""
+    df.write.option("parquet.block.size", 32 << 20).parquet(path)
+
+
 def spool(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = spool_path(df.sparkSession, name)
-    df.write.parquet(path)
+    write(df, path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._wideleaf_path = path
     _spooled.append(path)
@@ -80,7 +85,7 @@ def sweeping(spark: SparkSession) -> Iterator[None]:
             _spooled.remove(path)
 
 
-def attach(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", *, weight: str = "n", cost: Column | None = None, most: int = 100_000) -> DataFrame:
+def attach(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", *, weight: str = "n", cost: Column | None = None, most: int = 16_384) -> DataFrame:
     """``left`` joined with ``right``, a table with one row for each key and in ``weight`` how many rows of ``left`` have it.
 
     ``right`` is broadcast only if it has ``most`` rows or fewer (or its rows cost no more together).  Beyond, keys that hold a 4096th of the rows or more, which
@@ -110,6 +115,8 @@ def ship(spark: SparkSession) -> None:
         spark.sparkContext.addPyFile(str(target))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) == 10000:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b") in ("67108864b", "67108864"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     _shipped.add(app)
 
 
