@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from wideleaf.llm import bpe, decontaminate, quality, secrets, similar
-from wideleaf.llm.common import delete, read, spool_path, sweeping
+from wideleaf.llm.common import delete, read, spool_path, sweeping, write
 from wideleaf.llm.queries import VOCABULARY
 
 
@@ -50,7 +50,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         path = spool_path(spark, name.replace(" ", "-"))
         with sweeping(spark):
-            stage(spark, docs, sf_dir).write.parquet(path)
+            write(stage(spark, docs, sf_dir), path)
         if before:
             delete(spark, before)
         docs, before = spark.read.parquet(path), path
