@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from wideleaf.dialect import binder as B
 from wideleaf.dialect.binder import BOOL, BYTES, DATE, FLOAT, INT, STRING, TIME, Value
 from wideleaf.errors import InvalidArgument, Unimplemented
-from wideleaf.functions import codecs
+from wideleaf.functions import codecs, patterns
 from wideleaf.functions import scalars as S
 
 _PLAIN: dict = {}
@@ -242,17 +242,12 @@ fn("SOUNDEX", "S")(cols(lambda x: F.when(F.regexp_replace(x, "[^A-Za-z]", "") ==
 
 def _pattern(v: Value) -> str:
     p = _need(v, "a pattern")
-    p = p.decode("latin-1") if isinstance(p, bytes) else p
-    p = re.sub(r"\(\?P<", "(?<", p)
-    try:
-        re.compile(p.replace("(?<", "(?P<") if re.search(r"\(\?<[A-Za-z]", p) else p.replace(r"\z", r"\Z").replace(r"\pL", "x"))
-    except re.error as e:
-        raise InvalidArgument(f"a bad pattern: {e}") from e
-    return p
+    return patterns.translate(p.decode("latin-1") if isinstance(p, bytes) else p)[0]
 
 
-def _groups(p: str) -> int:
-    return len(re.findall(r"(?<!\\)\((?!\?(?!<[A-Za-z]))", re.sub(r"\\.|\[(?:\\.|[^\]])*\]", "", p)))
+def _groups(java: str) -> int:
+    """The groups of a translated pattern, in which every other parenthesis is followed by a question mark or spelled as a number."""
+    return len(re.findall(r"\((?!\?)", java))
 
 
 def _one_group(p: str) -> int:
@@ -1012,10 +1007,14 @@ def _java_pattern(shape: str) -> str:
     shape, out, at = _spelled(shape), [], 0
     quote = lambda s: "".join("'" + c + "'" if c.isalpha() else "''" if c == "'" else c for c in s)
     extra = {"z": "xx", "Ez": "xxx", "Z": "VV", "E*S": "ss[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]", "e": "d", "%": "%", "E4Y": "yyyy", "k": "H", "l": "h", "n": "\n", "t": "\t"}
-    for m in _ELEMENT.finditer(shape):
+    elements = list(_ELEMENT.finditer(shape))
+    numeric = lambda k: 0 <= k < len(elements) and elements[k][1] in set("YmdHMSIyj")
+    for k, m in enumerate(elements):
         out.append(quote(shape[at : m.start()]))
         at, e = m.end(), m[1]
-        found = extra.get(e) or {"m": "M", "d": "d", "H": "H", "M": "m", "S": "s", "I": "h"}.get(e) or _JAVA.get(e)
+        # Numbers that touch others have all their digits; those that stand alone may lack leading zeros.
+        touches = numeric(k - 1) and elements[k - 1].end() == m.start() or numeric(k + 1) and elements[k + 1].start() == m.end()
+        found = extra.get(e) or (None if touches else {"m": "M", "d": "d", "H": "H", "M": "m", "S": "s", "I": "h"}.get(e)) or _JAVA.get(e)
         if re.fullmatch(r"E[1-6]S", e):
             found = "ss." + "S" * int(e[1])
         if found is None:

@@ -8,9 +8,12 @@ import re
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wideleaf.functions import patterns
+
 TEXT, BYTES, INT, TEXTS = T.StringType(), T.BinaryType(), T.LongType(), T.ArrayType(T.StringType())
 
 
@@ -85,13 +88,9 @@ def instr(s: pd.Series, sub: pd.Series, position: pd.Series, occurrence: pd.Seri
     return pd.Series([one(*r) for r in zip(s, sub, position, occurrence)], dtype="object")
 
 
-def _java_to_python(pattern: str) -> str:
-    return re.sub(r"\(\?<(?![=!])", "(?P<", pattern)
-
-
 def regexp_nth(pattern: str, result: str):
     """A UDF of text, position and occurrence: the match (``text``), its start (``start``) or its end (``end``), from 1."""
-    found = re.compile(_java_to_python(pattern))
+    found = regex.compile(patterns.python(pattern))
 
     def one(t, p, n):
         if t is None or pd.isna(p) or pd.isna(n):
@@ -225,3 +224,9 @@ def shift_bytes(a: pd.Series, left: pd.Series) -> pd.Series:
         return (moved & ((1 << 8 * len(x)) - 1)).to_bytes(len(x), "big")
 
     return pd.Series([one(*r) for r in zip(a, left)], dtype="object")
+
+
+@F.pandas_udf(T.BinaryType())
+def to_float_bytes(s: pd.Series) -> pd.Series:
+    """Eight bytes of a double, most significant first."""
+    return pd.Series([None if pd.isna(x) and not isinstance(x, float) else np.array(x, ">f8").tobytes() for x in s], dtype="object")

@@ -5,7 +5,6 @@ Cells under a filter have two more columns: ``labels`` and ``ord``, which tells
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -13,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wideleaf.errors import InvalidArgument
+from wideleaf.functions import patterns
 
 DEEPEST = 20
 
@@ -175,17 +175,8 @@ def check(f: Filter, depth: int = 1, conditional: bool = False) -> None:
 
 
 def _java(pattern: bytes) -> str:
-    """The pattern for Java, over bytes seen as Latin-1: whole match, only \\n ends a line.  Lookaround and back-references,
-    which linear-time matchers don't have, are rejected."""
-    text = "".join(chr(b) if b < 128 else f"\\x{b:02X}" for b in pattern)
-    if re.search(r"(?<!\\)(?:\\\\)*\\[1-9]|\(\?(?:[=!>]|<[=!])", text):
-        raise InvalidArgument("back-references and lookaround aren't offered")
-    text = text.replace("(?P<", "(?<")
-    try:
-        re.compile(text.replace("(?<", "(?P<").replace("\\z", "\\Z").replace("\\C", "."))
-    except re.error as e:
-        raise InvalidArgument(f"bad pattern: {e}") from None
-    return f"(?d)\\A(?:{text})\\z"
+    """The pattern for Java, over bytes seen as Latin-1, for the whole of a value."""
+    return f"\\A(?:{patterns.translate(pattern.decode('latin-1'))[0]})\\z"
 
 
 def matches(column: Column, pattern: bytes) -> Column:
