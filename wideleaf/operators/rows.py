@@ -55,3 +55,24 @@ def restrict(cells: DataFrame, prefixes: list[bytes], subsets: dict[str, tuple[l
         rs = [*map(ranges.point, qualifiers), *map(ranges.prefix, starts)]
         kept = kept | ((F.col("family") == family) & ranges.predicate(rs, "qualifier"))
     return cells.where(ranges.predicate([ranges.prefix(p) for p in prefixes] or ranges.EVERYTHING) & kept)
+
+
+def nested(cells: DataFrame) -> DataFrame:
+    """A row for each key: its families in order, in them columns, in them cells (newest first) with their labels."""
+    if "labels" not in cells.columns:
+        cells = cells.withColumn("labels", F.array().cast("array<string>")).withColumn("ord", F.lit(""))
+    one = F.struct((-F.col("ts")).alias("down"), "ord", "ts", "value", "labels")
+    columns = cells.groupBy("row_key", "family", "fam_order", "qualifier").agg(F.array_sort(F.collect_list(one)).alias("c"))
+    plain = F.transform("c", lambda x: F.struct(x["ts"].alias("ts"), x["value"].alias("value"), x["labels"].alias("labels")))
+    families = columns.groupBy("row_key", "family", "fam_order").agg(F.array_sort(F.collect_list(F.struct("qualifier", plain.alias("cells")))).alias("columns"))
+    rows = families.groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("fam_order", "family", "columns"))).alias("f"))
+    return rows.select("row_key", F.transform("f", lambda x: F.struct(x["family"].alias("family"), x["columns"].alias("columns"))).alias("families"))
+
+
+def statistics(cells: DataFrame, **asked) -> DataFrame:
+    """What a read of ``read_rows`` looks at and returns: rows_seen, cells_seen, rows_returned, cells_returned."""
+    wanted = [*map(ranges.point, asked.get("keys", ())), *asked.get("row_ranges", ())] or ranges.EVERYTHING
+    count = lambda df: df.groupBy("row_key").agg(F.count("*").alias("n"))
+    zero = F.lit(0).cast("long")
+    both = count(cells.where(ranges.predicate(wanted))).select(F.lit(1).alias("s"), F.col("n").alias("sn"), zero.alias("r"), zero.alias("rn")).unionByName(count(read_rows(cells, **asked)).select(F.lit(0).alias("s"), zero.alias("sn"), F.lit(1).alias("r"), F.col("n").alias("rn")))
+    return both.agg(*[F.coalesce(F.sum(a), F.lit(0)).cast("long").alias(b) for a, b in (("s", "rows_seen"), ("sn", "cells_seen"), ("r", "rows_returned"), ("rn", "cells_returned"))])

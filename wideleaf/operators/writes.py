@@ -13,31 +13,45 @@ from wideleaf.sources.cells import COLUMNS
 
 MUTATIONS = "row_key binary, op string, family string, qualifier binary, start_ts long, end_ts long, value binary, seq long"
 
+MUTATIONS_COLUMNS = tuple(x.split()[0] for x in MUTATIONS.split(", "))
+
 
 def fold(cells: DataFrame, mutations: DataFrame, fam_order: dict[str, int]) -> DataFrame:
-    """The cells after ``mutations``, all of which are later than ``cells``.
+    """The cells after ``mutations``, all of which are later than ``cells``.  Of cells of one key, family, qualifier and ts the last holds:
+    any written by a mutation before any that was there, then the greatest seq.
 
-    Deletes of rows and families keep only their last seq per key, which is joined.  Deletes of columns are ranges of time;
-    they meet the cells of their column in one window over both, by key, family and qualifier."""
+    One shuffle by key: windows over cells and mutations of a row give the last delete of the row, of the family, and the deletes of
+    the column, which are ranges of time."""
     order = F.create_map(*[x for f, k in fam_order.items() for x in (F.lit(f), F.lit(k))])
-    written = mutations.where("op = 'set'").select("row_key", "family", order[F.col("family")].alias("fam_order"), "qualifier", F.col("start_ts").alias("ts"), "value", "seq")
-    old = cells.select(*COLUMNS[:-1], F.lit(-1).cast("long").alias("seq"))
-    every = old.unionByName(written)
-    last = every.groupBy("row_key", "family", "qualifier", "ts").agg(F.max_by(F.struct("fam_order", "value", "seq"), "seq").alias("c")).select("row_key", "family", "c.fam_order", "qualifier", "ts", "c.value", "c.seq")
-    gone = mutations.where("op in ('del_row', 'del_family')").groupBy("row_key", F.when(F.col("op") == "del_family", F.col("family")).alias("of")).agg(F.max("seq").alias("s"))
-    whole = gone.where("of is null").select("row_key", F.col("s").alias("row_seq"))
-    family = gone.where("of is not null").select("row_key", F.col("of").alias("family"), F.col("s").alias("family_seq"))
-    alive = last.join(whole, "row_key", "left").join(family, ["row_key", "family"], "left").where("seq > coalesce(row_seq, -2) and seq > coalesce(family_seq, -2)").select(*COLUMNS)
-    cuts = mutations.where("op = 'del_column'").select("row_key", "family", "qualifier", "start_ts", "end_ts", F.col("seq").alias("cut"))
-    spans = F.collect_list(F.struct("start_ts", "end_ts", "cut"))
-    per_column = cuts.groupBy("row_key", "family", "qualifier").agg(spans.alias("cuts"))
-    hit = F.exists("cuts", lambda x: (x["cut"] > F.col("seq")) & (F.col("ts") >= F.coalesce(x["start_ts"], F.lit(0))) & (x["end_ts"].isNull() | (F.col("ts") < x["end_ts"])))
-    return alive.join(per_column, ["row_key", "family", "qualifier"], "left").where(~F.coalesce(hit, F.lit(False))).select(*COLUMNS)
+    columns = ["row_key", "family", "qualifier", "fam_order", "ts", "value", "seq", "op", "start_ts", "end_ts"]
+    old = cells.select(*COLUMNS, F.lit("old").alias("op"), F.lit(None).cast("long").alias("start_ts"), F.lit(None).cast("long").alias("end_ts"))
+    new = mutations.withColumn("fam_order", order[F.col("family")]).withColumn("ts", F.when(F.col("op") == "set", F.col("start_ts")))
+    every = old.select(*columns).unionByName(new.select(*columns))
+    column = Window.partitionBy("row_key", "family", "qualifier")
+    cell = F.col("op").isin("old", "set")
+    #: A cell's place among deletes: what was there is before all of them.
+    at = F.when(F.col("op") == "set", F.col("seq")).otherwise(F.lit(-(1 << 62)))
+    cut = F.when(F.col("op") == "del_column", F.struct("start_ts", "end_ts", F.col("seq").alias("cut")))
+    seen = every.repartition("row_key").withColumns({
+        "_n": F.when(cell, F.row_number().over(Window.partitionBy("row_key", "family", "qualifier", "ts").orderBy(cell.desc(), (F.col("op") == "set").desc(), F.desc("seq")))),
+        "_cuts": F.collect_list(cut).over(column),
+        "_family": F.max(F.when(F.col("op") == "del_family", F.col("seq"))).over(Window.partitionBy("row_key", "family")),
+        "_row": F.max(F.when(F.col("op") == "del_row", F.col("seq"))).over(Window.partitionBy("row_key")),
+    })
+    hit = F.exists("_cuts", lambda x: (x["cut"] > at) & (F.col("ts") >= F.coalesce(x["start_ts"], F.lit(0))) & (x["end_ts"].isNull() | (F.col("ts") < x["end_ts"])))
+    lost = (at < F.col("_row")) | (at < F.col("_family"))
+    return seen.where((F.col("_n") == 1) & ~F.coalesce(lost, F.lit(False)) & ~hit).select(*COLUMNS)
+
+
+def _wrapped(total):
+    """A sum of 64-bit numbers, given as a decimal, as it is left in 64 bits."""
+    half, whole = (F.lit(str(2**n)).cast("decimal(20,0)") for n in (63, 64))
+    return (F.pmod(total + half, whole) - half).cast("long")
 
 
 def aggregate(cells: DataFrame, added: DataFrame, how: str) -> DataFrame:
-    """Cells of an aggregate family (values as BIGINT in ``n``) after ``added``: ``sum``, ``min`` or ``max`` per cell."""
-    merge = {"sum": F.sum, "min": F.min, "max": F.max}[how]
+    """Cells of an aggregate family (values as BIGINT in ``n``) after ``added``: ``sum`` (which wraps), ``min`` or ``max`` per cell."""
+    merge = {"sum": lambda c: _wrapped(F.sum(F.col(c).cast("decimal(20,0)"))), "min": F.min, "max": F.max}[how]
     key = ["row_key", "family", "qualifier", "ts"]
     return cells.select(*key, "n").unionByName(added.select(*key, "n")).groupBy(*key).agg(merge("n").alias("n"))
 
@@ -64,10 +78,33 @@ def from_big_endian(value):
     return F.when(F.octet_length(value) == 8, F.conv(F.hex(value), 16, -10).cast("long"))
 
 
+RULES = "row_key binary, family string, qualifier binary, rule_no int, append binary, by long"
+
+
+def read_modify_write(cells: DataFrame, rules: DataFrame, now: int) -> DataFrame:
+    """The cells that rules write: row_key, family, qualifier, ts, value and ``error``, one per column.
+
+    The rules of a column apply in the order of ``rule_no``, each to what the one before left: ``append`` adds bytes, ``by`` adds to a
+    big-endian number of eight bytes, wrapping; an absent cell is empty, or 0.  A number of another length is an error, and
+    ``value`` is null.  The time is ``now`` or that of the newest cell, whichever is later.  A row's rules stand in one request, so
+    their list is bounded."""
+    key = ["row_key", "family", "qualifier"]
+    asked = rules.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("rule_no", "append", "by"))).alias("rules"))
+    at = F.struct("ts", "seq")
+    latest = cells.join(asked.select(*key), key, "left_semi").groupBy(*key).agg(F.max("ts").alias("last"), F.max_by("value", at).alias("was"))
+    add = lambda v, by: big_endian(_wrapped(F.coalesce(from_big_endian(v), F.lit(0)).cast("decimal(20,0)") + by.cast("decimal(20,0)")))
+
+    def step(state, rule):
+        bad = rule["by"].isNotNull() & state["value"].isNotNull() & (F.octet_length(state["value"]) != 8)
+        value = F.when(rule["by"].isNotNull(), add(state["value"], rule["by"])).otherwise(F.concat(F.coalesce(state["value"], F.lit(bytearray())), rule["append"]))
+        return F.struct(F.when(state["error"].isNotNull() | bad, state["value"]).otherwise(value).alias("value"), F.coalesce(state["error"], F.when(bad, F.format_string("rule %d: the value is %d bytes long, not a number of eight", rule["rule_no"], F.octet_length(state["value"])))).alias("error"))
+
+    start = F.struct(F.col("was").alias("value"), F.lit(None).cast("string").alias("error"))
+    done = asked.join(latest, key, "left").withColumn("done", F.aggregate("rules", start, step))
+    return done.select(*key, F.greatest(F.lit(now), F.coalesce("last", F.lit(0))).alias("ts"), F.when(F.col("done.error").isNull(), F.col("done.value")).alias("value"), F.col("done.error").alias("error"))
+
+
 def increment(cells: DataFrame, rules: DataFrame, now: int) -> DataFrame:
-    """For each rule (row_key, family, qualifier, by): the cell that an increment writes, at max(now, its last time)."""
-    w = Window.partitionBy("row_key", "family", "qualifier").orderBy(F.desc("ts"))
-    latest = cells.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("row_key", "family", "qualifier", F.col("ts").alias("last"), F.col("value").alias("was"))
-    joined = rules.groupBy("row_key", "family", "qualifier").agg(F.sum("by").alias("by")).join(latest, ["row_key", "family", "qualifier"], "left")
-    n = F.coalesce(from_big_endian(F.col("was")), F.lit(0)) + F.col("by")
-    return joined.select("row_key", "family", "qualifier", F.greatest(F.lit(now), F.coalesce("last", F.lit(0))).alias("ts"), big_endian(n).alias("value"), n.alias("n"))
+    """For each rule (row_key, family, qualifier, by): the cell that increments write, and its number ``n``; null where the cell held none."""
+    ruled = rules.select("row_key", "family", "qualifier", F.lit(0).alias("rule_no"), F.lit(None).cast("binary").alias("append"), "by")
+    return read_modify_write(cells, ruled, now).drop("error").withColumn("n", from_big_endian(F.col("value")))
