@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from wideleaf.dialect import binder as B
 from wideleaf.dialect.functions import AGGREGATES
-from wideleaf.errors import InvalidArgument
+from wideleaf.errors import InvalidArgument, Unimplemented
 from wideleaf.functions import scalars as S
 
 # Which aggregates take which modifiers.
@@ -116,7 +116,9 @@ def bind(b: B.Binder, node: tuple) -> tuple[Column, T.DataType | None]:
                 raise InvalidArgument("a precision is a constant from 10 to 24")
             if not isinstance(kind, (T.LongType, T.StringType, T.BinaryType)):
                 raise InvalidArgument("sketches take INT64, STRING or BYTES")
-            return F.when(F.count(x) > 0, F.hll_sketch_agg(x, F.lit(min(precision, _MAX_PRECISION)))), B.BYTES
+            if precision > _MAX_PRECISION:
+                raise Unimplemented(f"sketches of a precision above {_MAX_PRECISION}")
+            return F.when(F.count(x) > 0, F.hll_sketch_agg(x, F.lit(precision))), B.BYTES
         case "HLL_COUNT.MERGE" | "HLL_COUNT.MERGE_PARTIAL":
             merged = F.hll_union_agg(B.assign(v, B.BYTES).strict(), F.lit(True))
             if name == "HLL_COUNT.MERGE":

@@ -9,14 +9,15 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wideleaf.dialect import aggregates, parser
+from wideleaf.dialect import aggregates, lexer, parser
 from wideleaf.dialect.query import Catalog, _name_of, _Planner, _walk
 from wideleaf.errors import InvalidArgument
 from wideleaf.functions import keys as K
+from wideleaf.functions.codecs import to_float_bytes
 
 # Aggregates that a view takes, functions that it doesn't, and types of key columns.
 _AGGREGATES = frozenset("ANY_VALUE APPROX_COUNT_DISTINCT AVG BIT_AND BIT_OR BIT_XOR COUNT COUNTIF HLL_COUNT.INIT HLL_COUNT.MERGE HLL_COUNT.MERGE_PARTIAL LOGICAL_AND LOGICAL_OR MAX MIN SUM".split())
@@ -77,6 +78,8 @@ def _key_names(q: parser.Query, names: list[str]) -> list[str]:
 
 def plan(spark: SparkSession, catalog: Catalog, sql: str) -> tuple[DataFrame, Definition]:
     """All rows of a view, with their ``_key``, in no order."""
+    if any(t.kind == "op" and t.value == "@{" for t in lexer.tokens(sql)):
+        raise InvalidArgument("a view takes no hints")
     q = parser.parse(sql)
     while q.source is not None and q.source.kind == "query" and not q.order and q.limit is None:
         q = q.source.query
@@ -122,3 +125,35 @@ def create(spark: SparkSession, catalog: Catalog, name: str, sql: str, path: str
     if "_key" in definition.columns:
         catalog.keyed.add(name)
     return definition
+
+
+def as_cells(stored: DataFrame, values: list[str]) -> DataFrame:
+    """A stored view as cells: key ``_key``; the family ``default`` with a qualifier for each column, and a family for each column
+    that is a map; at time 0, or at the row's ``_timestamp``.  Null values make no cell."""
+    ts = F.unix_micros("_timestamp") if "_timestamp" in stored.columns else F.lit(0).cast("long")
+    kinds = {f.name: f.dataType for f in stored.schema.fields}
+    cell = lambda family, order, qualifier, value: F.struct(F.lit(family).alias("family"), F.lit(order).alias("fam_order"), qualifier.alias("qualifier"), value.alias("value"))
+    parts = []
+    maps = [v for v in values if isinstance(kinds[v], T.MapType)]
+    for v in values:
+        if v in maps:
+            parts.append(F.transform(F.map_entries(v), lambda e, v=v: cell(v, 1 + maps.index(v), e["key"].cast("binary"), _as_bytes(e["value"], kinds[v].valueType))))
+        else:
+            parts.append(F.array(cell("default", 0, F.lit(v).cast("binary"), _as_bytes(F.col(f"`{v}`"), kinds[v]))))
+    made = stored.select(F.col("_key").alias("row_key"), ts.alias("ts"), F.explode(F.flatten(F.array(*[F.coalesce(p, F.array().cast(_CELLS)) for p in parts]))).alias("c"))
+    return made.where("c.value is not null").select("row_key", "c.family", "c.fam_order", "c.qualifier", "ts", "c.value", F.lit(0).cast("long").alias("seq"))
+
+
+_CELLS = "array<struct<family:string,fam_order:int,qualifier:binary,value:binary>>"
+
+
+def _as_bytes(c: Column, kind: T.DataType) -> Column:
+    """A value as it stands in a cell: text and bytes as they are, numbers and times as eight bytes, most significant first."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return c.cast("binary")
+    if isinstance(kind, T.BooleanType):
+        return F.when(c, F.lit(b"\x01")).when(~c, F.lit(b"\x00"))
+    if isinstance(kind, T.DoubleType):
+        return F.when(c.isNotNull(), to_float_bytes(c))
+    number = F.unix_micros(c) if isinstance(kind, T.TimestampType) else c.cast("long")
+    return F.unhex(F.lpad(F.hex(number), 16, "0"))
