@@ -2,9 +2,10 @@ import duckdb
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from wideleaf import catalogue
-from wideleaf.errors import InvalidArgument
+from wideleaf.errors import InvalidArgument, OutOfRange
 from wideleaf.operators import collect, ranges, rows, temporal, writes
 from wideleaf.operators import rowfilters as R
 from wideleaf.streaming import changes
@@ -58,7 +59,7 @@ def test_filters(cells):
     assert [r.labels for r in labels] == [["l"]]
 
 
-@pytest.mark.parametrize("f", [R.Chain((R.PassAll(),)), R.Condition(R.Sink()), R.TimestampRange(1), R.RowSample(1.0), R.CellsPerRow(0), R.ValueRegex(b"(a"), R.ValueRegex(b"(?=a)"), R.Chain((R.Label("a"), R.Label("b")))])
+@pytest.mark.parametrize("f", [R.Chain((R.PassAll(),)), R.Condition(R.Sink()), R.TimestampRange(1), R.RowSample(1.0), R.CellsPerRow(0), R.ValueRegex(b"(a"), R.ValueRegex(b"(?=a)"), R.ValueRegex(rb"(a)\1"), R.ValueRegex(b"a++"), R.ValueRegex(b"a{2,1}"), R.ValueRegex(b"[b-a]"), R.ValueRegex(rb"\y"), R.Chain((R.Label("a"), R.Label("b")))])
 def test_filters_rejected(cells, f):
     with pytest.raises(InvalidArgument):
         R.apply(cells, f)
@@ -91,14 +92,65 @@ def test_fold(spark, cells):
     assert [bytes(r.value) for r in out.where("row_key = X'63' and qualifier = X'78' and ts = 3000").collect()] == [b"new"]
 
 
+def test_ties(spark):
+    """Of cells of one time the last written holds, whatever the order of the rows; a mutation is later than all of them."""
+    rows_ = [(b"a", "f", 0, b"x", 1000, b"old", 1), (b"a", "f", 0, b"x", 1000, b"new", 2), (b"a", "f", 0, b"y", 1000, b"old", 9), (b"b", "f", 0, b"x", 1000, b"gone", 1)]
+    batch = spark.createDataFrame([(b"a", "set", "f", b"y", 1000, None, b"set", 1), (b"b", "del_row", None, None, None, None, None, 2), (b"b", "set", "f", b"x", 1000, None, b"again", 3)], writes.MUTATIONS)
+    for order in (rows_, rows_[::-1]):
+        out = writes.fold(spark.createDataFrame(order, CELL), batch, {"f": 0}).collect()
+        assert sorted((bytes(r.row_key), bytes(r.qualifier), bytes(r.value)) for r in out) == [(b"a", b"x", b"new"), (b"a", b"y", b"set"), (b"b", b"x", b"again")]
+
+
+def test_change_log(spark, cells, tmp_path):
+    path = f"file://{tmp_path}/log"
+    day = 86_400_000_000
+    assert changes.last_id(spark, path) == 0
+    for k in range(2):
+        changes.append(changes.of_cells(cells.withColumn("ts", F.col("ts") + k * day)), path)
+    every = changes.read(spark, path).collect()
+    ids = [r.id for r in every]
+    assert len(set(ids)) == len(ids) == 18 and [r.commit_us for r in every] == sorted(r.commit_us for r in every)
+    # From every token on, just what follows; of several tokens the earliest.
+    for k, token in enumerate(ids):
+        assert [r.id for r in changes.read(spark, path, tokens=[token, ids[-1]]).collect()] == ids[k + 1 :]
+    got, token = [], 0
+    while not isinstance(found := changes.poll(spark, path, token, 7, limit=5), changes.Heartbeat):
+        got += [r.id for r in found.collect()]
+        token = got[-1]
+    assert got == ids and found == changes.Heartbeat(ids[-1], 7)
+    assert changes.read(spark, path, start_us=2000, end_us=2000).count() == 3 and changes.initial_partitions() == [(b"", None)]
+    for wrong in ({"start_us": 9, "now": 8}, {"start_us": 9, "end_us": 8}, {"start_us": 1, "tokens": [1]}):
+        with pytest.raises(InvalidArgument):
+            changes.read(spark, path, **wrong)
+    with pytest.raises(OutOfRange):
+        changes.read(spark, path, start_us=1, now=9 * day)
+    with pytest.raises(InvalidArgument):
+        changes.purge(spark, path, 0, day - 1)
+    assert changes.purge(spark, path, 3 * day, day) == 2 and changes.purge(spark, path, 3 * day, day) == 0
+
+
 def test_change_stream(spark, cells, tmp_path):
     changes.append(changes.of_cells(cells), str(tmp_path / "log"))
-    assert [r.id for r in changes.read(spark, str(tmp_path / "log"), after_id=1).collect()] == [2, 2, 2, 3, 3, 3]
     query = changes.stream(spark, str(tmp_path / "log"), row_ranges=[(b"b", None)]).writeStream.format("memory").queryName("got").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert spark.table("got").count() == 6
 
 
+@pytest.mark.parametrize("pattern, text, hit", [
+    (b"[[:alpha:]]+", b"b", True), (b"[[:^alpha:]]", b"b", False), (rb"\C*", b"x\ny\xff", True), (rb"\pN+", b"12", True), (rb"\Qa.b\E", b"a.b", True), (rb"\Qa.b\E", b"axb", False), (b"a.c", b"a\nc", False), (b"(?s)a.c", b"a\nc", True), (b"a.c", b"a\rc", True),
+    (b"(?i)ab|C", b"c", True), (b"a{,2}", b"a{,2}", True), (rb"\xff\x{fe}", b"\xff\xfe", True), (b"\xff+", b"\xff\xff", True), (rb"\ba\b", b"a", True), (b"[]-]+", b"]-", True), (b"(?U)a+", b"aa", True), (b"(?P<n_1>a)", b"a", True), (rb"[^\d\W]", b"1", False), (b"a$", b"a\n", False), (rb"[&&a]", b"&", True),
+])
+def test_patterns(spark, pattern, text, hit):
+    row = spark.createDataFrame([(text, "f", 0, b"q", 0, b"v", 0)], CELL)
+    assert R.apply(row, R.RowKeyRegex(pattern)).count() == hit
+
+
+def test_rules_of_collection():
+    assert collect.size(collect.MaxVersions(300)) == 3 and collect.size(collect.MaxAge(1_000_000)) == 4
+    with pytest.raises(InvalidArgument):
+        collect._judged(None, {"f": collect.Union(tuple(collect.MaxVersions(300) for _ in range(200)))}, 0)
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_catalogue(spark, name):
     con = duckdb.connect()

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wideleaf.functions import scalars as S
@@ -217,10 +219,57 @@ def mv_index(spark, sf_dir):
     return views.indexed(r, {"priority": F.col("priority"), "date": F.col("date")}, {"source": C.text("row_key")})
 
 
-@_query(f"WITH {_EV} SELECT row_key, ts AS commit_us, count(*) AS cells FROM ev WHERE ts >= {_T15} AND ts <= {_T20} AND row_key >= 'u000002' AND row_key < 'u000009' GROUP BY 1, 2")
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder for what a query writes: in the shared folder, or, in a local session without one, a temporary one."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="wideleaf-")
+    return f"{top.rstrip('/')}/wideleaf/{name}-{uuid.uuid4().hex}"
+
+
+@_query(f"WITH {_EV}, r AS (SELECT row_key, ts AS commit_us, count(*) AS cells, row_number() OVER (ORDER BY ts, row_key) AS place FROM ev GROUP BY 1, 2) SELECT row_key, commit_us, cells, place FROM r WHERE commit_us >= {_T15} AND commit_us <= {_T20} AND row_key >= 'u000002' AND row_key < 'u000009'")
 def changes_range(spark, sf_dir):
-    log = changes._part(changes.of_cells(C.events_by_user(spark, sf_dir)), None, _T15, _T20, [(b"u000002", b"u000009")])
-    return log.select(C.text("row_key").alias("row_key"), "commit_us", F.size("mutations").cast("long").alias("cells"))
+    """A log that is appended to and read back: records in a time and a range of keys; ids are told by how many are below."""
+    path = _folder(spark, "changes")
+    changes.append(changes.of_cells(C.events_by_user(spark, sf_dir)), path)
+    places = spark.read.parquet(path).select("id", F.row_number().over(Window.orderBy("id")).cast("long").alias("place"))
+    log = changes.read(spark, path, start_us=_T15, end_us=_T20, row_ranges=[(b"u000002", b"u000009")])
+    return log.join(places, "id").select(C.text("row_key").alias("row_key"), "commit_us", F.size("mutations").cast("long").alias("cells"), "place")
+
+
+@_query(f"WITH {_EV}, r AS (SELECT row_key, ts, count(*) AS cells, row_number() OVER (ORDER BY ts, row_key) AS place FROM ev GROUP BY 1, 2) SELECT row_key, ts AS commit_us, cells FROM r WHERE place > 40 ORDER BY place LIMIT 25")
+def changes_resumed(spark, sf_dir):
+    """What a reader gets after a token: two polls, the second from where the first ended."""
+    path = _folder(spark, "changes")
+    changes.append(changes.of_cells(C.events_by_user(spark, sf_dir)), path)
+    first = changes.poll(spark, path, 0, _T20, limit=40)
+    token = first.agg(F.max("id")).first()[0]
+    found = changes.poll(spark, path, token, _T20, limit=25)
+    return found.select(C.text("row_key").alias("row_key"), "commit_us", F.size("mutations").cast("long").alias("cells"))
+
+
+@_query(f"""WITH {_EV}, r AS (SELECT *, row_number() OVER (PARTITION BY row_key, qualifier ORDER BY ts DESC, seq DESC) AS v FROM ev)
+ SELECT row_key, 'GARBAGE_COLLECTION' AS type, count(*) AS cells FROM r WHERE v > 3 GROUP BY 1""")
+def changes_collected(spark, sf_dir):
+    records = changes.of_collected(C.events_by_user(spark, sf_dir), {"ev": collect.MaxVersions(3)}, _T20)
+    return records.select(C.text("row_key").alias("row_key"), "type", F.size("mutations").cast("long").alias("cells"))
+
+
+@_query("""SELECT printf('u%06d', user_id) AS row_key, 2 AS mutations, 'del_family,set' AS ops FROM events WHERE user_id < 5 GROUP BY 1
+ UNION ALL SELECT 'v1', 2, 'set,del_family'""")
+def changes_row_delete(spark, sf_dir):
+    """Deletes of rows are told by family: of rows that were there, and of one that the same batch makes."""
+    cells = C.events_by_user(spark, sf_dir)
+    keys = cells.where(ranges.predicate([(b"u", b"u000005")])).select("row_key").distinct()
+    none = F.lit(None)
+    made = lambda op, seq, **f: [F.lit(op).alias("op"), *[f.get(n, none).cast(k).alias(n) for n, k in (("family", "string"), ("qualifier", "binary"), ("start_ts", "long"), ("end_ts", "long"), ("value", "binary"))], F.lit(seq).cast("long").alias("seq")]
+    new = spark.range(1).select(F.lit(b"v1").alias("row_key"))
+    cell = {"family": F.lit("ev"), "qualifier": F.lit(b"a"), "start_ts": F.lit(1000), "value": F.lit(b"b")}
+    batch = keys.select("row_key", *made("del_row", 1)).unionByName(keys.select("row_key", *made("set", 2, **cell))).unionByName(new.select("row_key", *made("set", 1, **cell))).unionByName(new.select("row_key", *made("del_row", 2)))
+    records = changes.of_mutations(batch, cells, _T20)
+    return records.select(C.text("row_key").alias("row_key"), F.size("mutations").alias("mutations"), F.array_join(F.transform("mutations", lambda m: m["op"]), ",").alias("ops"))
 
 
 @_query("SELECT n_name AS name, upper(n_name) AS up, length(n_name) AS len, substr(n_name, 2, 3) AS mid, reverse(n_name) AS rev, strpos(n_name, 'A') AS at FROM nation")
@@ -240,9 +289,9 @@ def fn_date(spark, sf_dir):
  FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) b""")
 def fn_vector(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    one = e.where("vec_id = 0").select("embedding").first()[0]
-    v = F.array(*[F.lit(float(x)) for x in one])
-    return e.select(F.col("vec_id").alias("id"), F.round(S.euclidean(F.col("embedding"), v), 4).alias("l2"), F.round(S.cosine_distance(F.col("embedding"), v), 4).alias("cosine"))
+    one = e.where("vec_id = 0").select(F.col("embedding").alias("v"))  # vec_id is a key: one row
+    v = F.col("v")
+    return e.join(F.broadcast(one), F.lit(True)).select(F.col("vec_id").alias("id"), F.round(S.euclidean(F.col("embedding"), v), 4).alias("l2"), F.round(S.cosine_distance(F.col("embedding"), v), 4).alias("cosine"))
 
 
 @_query("SELECT n_regionkey AS region, string_agg(n_name, ',' ORDER BY n_nationkey) AS names, min_by(n_name, n_nationkey) AS first FROM nation GROUP BY 1")

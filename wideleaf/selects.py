@@ -43,6 +43,21 @@ SELECTS: dict[str, tuple[str, str | None]] = {
     "sql_parameters": (f"SELECT {_KEY} FROM ev WHERE _key >= @low AND {_CENTS} > @cents", "SELECT k AS row_key FROM ev WHERE k >= 'u000010' AND c > 4000"),
     "sql_sketches": (f"SELECT {_TYPE} AS event_type, HLL_COUNT.EXTRACT(HLL_COUNT.INIT(person)) > 0 AS any, ABS(APPROX_COUNT_DISTINCT(person) - COUNT(DISTINCT person)) <= 0.05 * COUNT(DISTINCT person) AS near FROM ev GROUP BY event_type", "SELECT t AS event_type, true AS any, true AS near FROM ev GROUP BY 1"),
     "sql_structs": (f"SELECT {_KEY}, STRUCT({_TYPE} AS a, {_CENTS} AS b).b AS b, [1, {_CENTS}, 3][ORDINAL(2)] AS second, TO_JSON_STRING(STRUCT({_TYPE} AS t, {_CENTS} AS c)) AS json FROM ev", "SELECT k AS row_key, c AS b, c AS second, '{\"t\":\"' || t || '\",\"c\":' || c || '}' AS json FROM ev"),
+    "sql_no_source": ("SELECT 1 AS one, 'a' AS letter, [1, 2][OFFSET(1)] AS two", "SELECT 1 AS one, 'a' AS letter, 2 AS two"),
+    "sql_nested_query": (f"(SELECT {_KEY}, {_CENTS} AS cents FROM ev WHERE {_CENTS} > 3000) ORDER BY _key LIMIT 25", "SELECT k AS row_key, c AS cents FROM ev WHERE c > 3000 ORDER BY k LIMIT 25"),
+    "sql_star": ("SELECT * EXCEPT (cents) REPLACE (UPPER(event_type) AS event_type) FROM all_events WHERE cents > 4000", "SELECT k::BLOB AS _key, upper(t) AS event_type FROM ev WHERE c > 4000"),
+    "sql_range_star": (f"SELECT e.* EXCEPT (_key), CAST(e._key AS STRING) AS row_key FROM all_events AS e WHERE e.cents <= 100", "SELECT t AS event_type, c AS cents, k AS row_key FROM ev WHERE c <= 100"),
+    "sql_limit_zero": ("SELECT COUNT(*) AS n FROM nothing", "SELECT 0 AS n"),
+    "sql_hints": (f"@{{allow_incomplete_view=true}} SELECT {_TYPE} AS event_type, COUNT(*) AS n FROM ev @{{allow_incomplete_view=true}} GROUP BY 1", "SELECT t AS event_type, count(*) AS n FROM ev GROUP BY 1"),
+    "sql_group_ordinal": (f"SELECT {_TYPE} AS event_type, MOD({_CENTS}, 3) AS r, COUNT(*) AS n, MIN({_TYPE}) AS same FROM ev GROUP BY 1, 2 HAVING COUNT(*) > 1", "SELECT t AS event_type, c % 3 AS r, count(*) AS n, min(t) AS same FROM ev GROUP BY 1, 2 HAVING count(*) > 1"),
+    "sql_grouped_expression": (f"SELECT CONCAT({_TYPE}, '!') AS loud, SUM({_CENTS}) + COUNT(*) AS total, SUM({_CENTS}) AS cents FROM ev GROUP BY {_TYPE}", "SELECT t || '!' AS loud, CAST(sum(c) + count(*) AS BIGINT) AS total, CAST(sum(c) AS BIGINT) AS cents FROM ev GROUP BY t"),
+    "sql_array_aggregates": (f"SELECT person, ARRAY_TO_STRING(ARRAY_CONCAT_AGG([{_TYPE}, 'x'] ORDER BY _key LIMIT 2), ',') AS both, ARRAY_LENGTH(ARRAY_AGG(NULLIF({_TYPE}, 'view') IGNORE NULLS)) AS others, STRING_AGG(DISTINCT {_TYPE} ORDER BY {_TYPE} DESC) AS types FROM ev GROUP BY person", "SELECT usr AS person, array_to_string(flatten(list([t, 'x'] ORDER BY k)[1:2]), ',') AS both, count(*) FILTER (WHERE t <> 'view') AS others, array_to_string(list(DISTINCT t ORDER BY t DESC), ',') AS types FROM ev GROUP BY 1"),
+    "sql_null_order": (f"SELECT person, STRING_AGG(IFNULL(t, '-'), '' ORDER BY t NULLS LAST, _key LIMIT 4) AS last, STRING_AGG(IFNULL(t, '-'), '' ORDER BY t DESC NULLS FIRST, _key LIMIT 4) AS first FROM lettered GROUP BY person", "SELECT usr AS person, array_to_string(list(coalesce(t, '-') ORDER BY t NULLS LAST, k)[1:4], '') AS last, array_to_string(list(coalesce(t, '-') ORDER BY t DESC NULLS FIRST, k)[1:4], '') AS first FROM (SELECT usr, k, CASE WHEN t <> 'view' THEN left(t, 1) END AS t FROM ev) GROUP BY 1"),
+    "sql_bits": (f"SELECT {_TYPE} AS event_type, BIT_AND({_CENTS} | 1) AS a, BIT_OR(MOD({_CENTS}, 64)) AS o, BIT_XOR({_CENTS}) AS x, LOGICAL_AND({_CENTS} > 100) AS every, LOGICAL_OR({_CENTS} > 9000) AS some FROM ev GROUP BY 1", "SELECT t AS event_type, bit_and(c | 1) AS a, bit_or(c % 64) AS o, bit_xor(c) AS x, bool_and(c > 100) AS every, bool_or(c > 9000) AS some FROM ev GROUP BY 1"),
+    "sql_spreads": (f"SELECT {_TYPE} AS event_type, ROUND(STDDEV_POP({_CENTS}), 4) AS sp, ROUND(STDDEV_SAMP({_CENTS}), 4) AS ss, ROUND(VAR_SAMP({_CENTS}) / 1000000, 4) AS vs, ROUND(VARIANCE({_CENTS}) / 1000000, 4) AS v, ROUND(COVAR_POP({_CENTS}, MOD({_CENTS}, 7)), 3) AS cp, ROUND(COVAR_SAMP({_CENTS}, MOD({_CENTS}, 7)), 3) AS cs FROM ev GROUP BY 1", "SELECT t AS event_type, round(stddev_pop(c), 4) AS sp, round(stddev_samp(c), 4) AS ss, round(var_samp(c) / 1000000, 4) AS vs, round(var_samp(c) / 1000000, 4) AS v, round(covar_pop(c, c % 7), 3) AS cp, round(covar_samp(c, c % 7), 3) AS cs FROM ev GROUP BY 1"),
+    "sql_merged_sketches": ("SELECT COUNT(*) AS n, HLL_COUNT.MERGE(sketch) AS people, HLL_COUNT.EXTRACT(HLL_COUNT.MERGE_PARTIAL(sketch)) = HLL_COUNT.MERGE(sketch) AS same FROM sketched", "SELECT count(DISTINCT t) AS n, count(DISTINCT usr) AS people, true AS same FROM ev"),
+    "sql_as_of_or_later": (f"SELECT {_KEY}, IFNULL(ARRAY_LENGTH(ev['view']), 0) AS n FROM hist(with_history => TRUE, after_or_equal => TIMESTAMP '2024-01-10 00:00:00+00', before => TIMESTAMP '2024-01-20 00:00:00+00')", "SELECT k AS row_key, count(*) FILTER (WHERE t = 'view') AS n FROM hist WHERE us >= epoch_us(TIMESTAMP '2024-01-10') AND us < epoch_us(TIMESTAMP '2024-01-20') GROUP BY 1"),
+    "sql_safe": (f"SELECT {_KEY}, SAFE.SUBSTR({_TYPE}, 1, 3 - MOD({_CENTS}, 5)) AS head, SAFE_CAST({_TYPE} AS INT64) IS NULL AS text, {_TYPE} || '-' || CAST({_CENTS} AS STRING) AS joined FROM ev", "SELECT k AS row_key, CASE WHEN c % 5 <= 3 THEN substr(t, 1, 3 - c % 5) END AS head, true AS text, t || '-' || c AS joined FROM ev"),
 }
 _PARAMS = {"sql_parameters": {"low": b"u000010", "cents": 4000}}
 
@@ -50,7 +65,7 @@ _PARAMS = {"sql_parameters": {"low": b"u000010", "cents": 4000}}
 def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     fields = (("person", "STRING"), ("item", "STRING"))
     tables = {"ev": Table(C.events_by_row(spark, sf_dir), {"cf": "bytes"}, fields), "hist": Table(C.events_by_user(spark, sf_dir), {"ev": "bytes"}), "ord": Table(C.orders(spark, sf_dir), {"o": "bytes"}, fields)}
-    return Catalog(tables, views={"all_events": f"SELECT _key, {_TYPE} AS event_type, {_CENTS} AS cents FROM ev", "dear": "SELECT * FROM all_events WHERE cents > 3000"})
+    return Catalog(tables, views={"all_events": f"SELECT _key, {_TYPE} AS event_type, {_CENTS} AS cents FROM ev", "dear": "SELECT * FROM all_events WHERE cents > 3000", "lettered": f"SELECT _key, person, LEFT(NULLIF({_TYPE}, 'view'), 1) AS t FROM ev", "sketched": f"SELECT {_TYPE} AS t, HLL_COUNT.INIT(person) AS sketch FROM ev GROUP BY 1", "nothing": "SELECT _key FROM ev LIMIT 0"})
 
 
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
