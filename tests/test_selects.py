@@ -18,7 +18,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", selects.SELECTS)
+@pytest.mark.parametrize("name", selects.oracle_sql())
 def test_select(spark, duck, name):
     got = selects.queries()[name](spark, SF)
     order = sorted(got.columns)

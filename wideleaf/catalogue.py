@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wideleaf.dialect import Catalog, Table, run
 from wideleaf.functions import scalars as S
 from wideleaf.operators import collect, ranges, rows, temporal, writes
 from wideleaf.operators import rowfilters as R
@@ -209,14 +210,50 @@ def rmw_increment(spark, sf_dir):
 
 @_query("SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY 1, 2")
 def mv_group(spark, sf_dir):
-    r = C.events_by_user(spark, sf_dir).select(C.text("qualifier").alias("t"), F.date_format(F.timestamp_micros("ts"), "yyyy-MM-dd").alias("d"), C.text("value").cast("long").alias("c"))
-    return views.grouped(r, {"event_type": F.col("t"), "day": F.col("d")}, {"n": F.count("*"), "cents": F.sum("c")})
+    r = Catalog({"t": Table(C.events_by_row(spark, sf_dir).unionByName(_days(spark, sf_dir)), {"cf": "bytes"})})
+    rows_, _ = views.plan(spark, r, "SELECT CAST(cf['type'] AS STRING) AS event_type, CAST(cf['day'] AS STRING) AS day, COUNT(*) AS n, SUM(CAST(CAST(cf['cents'] AS STRING) AS INT64)) AS cents FROM t GROUP BY event_type, day")
+    return rows_.drop("_key")
+
+
+def _days(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return C.from_columns(e, F.format_string("u%06d#%08d", "user_id", "event_id"), "cf", {"day": F.date_format("ts", "yyyy-MM-dd")}, C.micros(F.col("ts")))
 
 
 @_query("SELECT o_orderpriority AS priority, strftime(o_orderdate, '%Y-%m-%d') AS date, printf('c%06d#%08d', o_custkey, o_orderkey) AS source FROM orders WHERE o_orderstatus = 'F'")
 def mv_index(spark, sf_dir):
-    r = C.pick(C.orders(spark, sf_dir), "o", ["priority", "date", "status"]).where("status = 'F'")
-    return views.indexed(r, {"priority": F.col("priority"), "date": F.col("date")}, {"source": C.text("row_key")})
+    """A secondary index: rows whose key column is null, or fails to be computed, are left out."""
+    t = Catalog({"t": Table(C.orders(spark, sf_dir), {"o": "bytes"})})
+    rows_, _ = views.plan(spark, t, "SELECT IF(DIV(1, IF(CAST(o['status'] AS STRING) = 'P', 0, 1)) = 1, NULLIF(CAST(o['status'] AS STRING), 'O'), 'x') AS status, CAST(o['priority'] AS STRING) AS priority, CAST(o['date'] AS STRING) AS date, CAST(_key AS STRING) AS source FROM t ORDER BY status, priority, date, source")
+    return rows_.select("priority", "date", "source")
+
+
+@_query("SELECT printf('%s|%d', o_orderpriority, o_orderkey) AS fields, true AS ascends FROM orders")
+def mv_keys(spark, sf_dir):
+    """The ordered code of a view's key: its fields read back, and the order of keys is that of the fields."""
+    t = Catalog({"t": Table(C.orders(spark, sf_dir), {"o": "bytes"}, (("customer", "STRING"), ("number", "STRING")))})
+    rows_, _ = views.plan(spark, t, "SELECT CAST(o['priority'] AS STRING) AS priority, CAST(number AS INT64) AS number, COUNT(*) AS n FROM t GROUP BY priority, number")
+    coded = Catalog({"k": Table(rows_.select(F.col("_key").alias("row_key"), F.lit("f").alias("family"), F.lit(0).alias("fam_order"), F.lit(b"n").alias("qualifier"), F.lit(0).cast("long").alias("ts"), F.lit(b"1").alias("value"), F.lit(0).cast("long").alias("seq")), {"f": "bytes"}, (("priority", "STRING"), ("number", "INT64")), ordered=True)})
+    back = run(spark, coded, "SELECT _key, priority, number FROM k", ordered=False)
+    before = F.lag("_key").over(Window.partitionBy("priority").orderBy("number"))
+    return back.select(F.format_string("%s|%d", "priority", "number").alias("fields"), F.coalesce(before < F.col("_key"), F.lit(True)).alias("ascends"))
+
+
+@_query(f"WITH {_EV} SELECT row_key, qualifier, ts FROM ev WHERE row_key IN (SELECT DISTINCT row_key FROM ev ORDER BY 1 DESC LIMIT 3)")
+def reversed_scan(spark, sf_dir):
+    """The last three rows, read from the last key on."""
+    found = rows.in_order(rows.read_rows(C.events_by_user(spark, sf_dir), limit=3, reversed=True), reversed=True)
+    return found.select(C.text("row_key").alias("row_key"), C.text("qualifier").alias("qualifier"), "ts")
+
+
+@_query("SELECT 0 AS split, true AS about_half, true AS repeats")
+def rf_sample(spark, sf_dir):
+    """A sample takes rows whole, about as many as asked for, and the same each time."""
+    cells = C.events_by_row(spark, sf_dir)
+    kept = R.apply(cells, R.RowSample(0.5, 7)).groupBy("row_key").agg(F.count("*").alias("k"))
+    again = R.apply(cells, R.RowSample(0.5, 7)).groupBy("row_key").agg(F.count("*").alias("a"))
+    whole = cells.groupBy("row_key").agg(F.count("*").alias("n")).join(kept, "row_key", "left").join(again, "row_key", "left")
+    return whole.agg(F.count_if(F.col("k") != F.col("n")).cast("int").alias("split"), (F.avg(F.col("k").isNotNull().cast("int")).between(0.4, 0.6)).alias("about_half"), F.bool_and(F.col("k").eqNullSafe(F.col("a"))).alias("repeats"))
 
 
 def _folder(spark: SparkSession, name: str) -> str:

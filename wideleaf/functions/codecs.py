@@ -125,7 +125,8 @@ def json_path(path: str) -> list | None:
     return steps
 
 
-_MISSING = object()
+#: A singleton: what is sent to workers must stay the same object there.
+_MISSING = ...
 
 
 class _Digits(float):

@@ -11,15 +11,15 @@ from wideleaf.operators import ranges, rowfilters
 SAMPLE_BYTES = 512 << 10
 
 
-def read_rows(cells: DataFrame, *, keys: list[bytes] = (), row_ranges: list[ranges.Range] = (), row_filter: rowfilters.Filter | None = None, limit: int = 0) -> DataFrame:
+def read_rows(cells: DataFrame, *, keys: list[bytes] = (), row_ranges: list[ranges.Range] = (), row_filter: rowfilters.Filter | None = None, limit: int = 0, reversed: bool = False) -> DataFrame:
     """The cells of the rows in the set (all rows, if no set is given) that the filter lets out, of the first ``limit``
-    rows that still have cells."""
+    rows that still have cells; of the last ones, if ``reversed``."""
     wanted = [*map(ranges.point, keys), *row_ranges] or ranges.EVERYTHING
     out = rowfilters.apply(cells.where(ranges.predicate(wanted)), row_filter or rowfilters.PassAll())
     if limit < 0:
         raise InvalidArgument("a limit can't be negative")
     if limit:
-        out = out.join(out.select("row_key").distinct().orderBy("row_key").limit(limit), "row_key", "left_semi")
+        out = out.join(out.select("row_key").distinct().orderBy(F.desc("row_key") if reversed else F.asc("row_key")).limit(limit), "row_key", "left_semi")
     return out
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wideleaf.dialect import Catalog, Table, run
+from wideleaf.errors import WideleafError
 from wideleaf.sources import cells as C
 
 #: What the wide tables hold, for DuckDB: a row per event, versions per user and type, a row per order.
@@ -59,6 +60,30 @@ SELECTS: dict[str, tuple[str, str | None]] = {
     "sql_as_of_or_later": (f"SELECT {_KEY}, IFNULL(ARRAY_LENGTH(ev['view']), 0) AS n FROM hist(with_history => TRUE, after_or_equal => TIMESTAMP '2024-01-10 00:00:00+00', before => TIMESTAMP '2024-01-20 00:00:00+00')", "SELECT k AS row_key, count(*) FILTER (WHERE t = 'view') AS n FROM hist WHERE us >= epoch_us(TIMESTAMP '2024-01-10') AND us < epoch_us(TIMESTAMP '2024-01-20') GROUP BY 1"),
     "sql_safe": (f"SELECT {_KEY}, SAFE.SUBSTR({_TYPE}, 1, 3 - MOD({_CENTS}, 5)) AS head, SAFE_CAST({_TYPE} AS INT64) IS NULL AS text, {_TYPE} || '-' || CAST({_CENTS} AS STRING) AS joined FROM ev", "SELECT k AS row_key, CASE WHEN c % 5 <= 3 THEN substr(t, 1, 3 - c % 5) END AS head, true AS text, t || '-' || c AS joined FROM ev"),
 }
+#: What isn't served: group, statement, and the error that turns it away.
+TURNED_AWAY = [
+    ("statement", "WITH a AS (SELECT 2) SELECT 2", "InvalidArgument"), ("statement", "INSERT INTO ev VALUES (1)", "InvalidArgument"), ("statement", "CREATE TABLE q (a INT64)", "InvalidArgument"), ("set", "SELECT 2 UNION ALL SELECT 3", "InvalidArgument"), ("set", "SELECT 2 INTERSECT DISTINCT SELECT 2", "InvalidArgument"), ("set", "SELECT 2 EXCEPT DISTINCT SELECT 2", "InvalidArgument"),
+    ("source", "SELECT q.a FROM (SELECT 2 AS a) AS q", "InvalidArgument"), ("source", "SELECT a FROM UNNEST([2, 3]) AS a", "Unimplemented"), ("source", "SELECT _key FROM ev TABLESAMPLE SYSTEM (5 PERCENT)", "Unimplemented"), ("join", "SELECT 2 FROM ev LEFT JOIN hist ON TRUE", "InvalidArgument"), ("join", "SELECT 2 FROM ev CROSS JOIN hist", "InvalidArgument"), ("join", "SELECT 2 FROM ev, hist", "InvalidArgument"),
+    ("subquery", "SELECT (SELECT 2) + 1", "InvalidArgument"), ("subquery", "SELECT 2 IN (SELECT 2)", "InvalidArgument"), ("subquery", "SELECT EXISTS (SELECT 2)", "InvalidArgument"), ("subquery", "SELECT ARRAY(SELECT 2)", "InvalidArgument"), ("projection", "SELECT AS VALUE 2", "Unimplemented"), ("projection", "SELECT AS STRUCT 2 AS a", "Unimplemented"),
+    ("grouping", "SELECT COUNT(*) FROM ev GROUP BY ROLLUP(_key)", "Unimplemented"), ("grouping", "SELECT COUNT(*) FROM ev GROUP BY CUBE(_key)", "Unimplemented"), ("window", "SELECT SUM(2) OVER () FROM ev", "Unimplemented"), ("window", "SELECT ROW_NUMBER() FROM ev", "Unimplemented"), ("window", "SELECT _key FROM ev QUALIFY TRUE", "Unimplemented"), ("window", "SELECT _key FROM ev WINDOW w AS ()", "Unimplemented"),
+    ("aggregate", "SELECT APPROX_TOP_COUNT(_key, 2) FROM ev", "Unimplemented"), ("aggregate", "SELECT MIN(_key HAVING MAX _key) FROM ev", "Unimplemented"), ("aggregate", "SELECT SUM(COUNT(*)) FROM ev", "InvalidArgument"), ("aggregate", "SELECT SAFE.SUM(2) FROM ev", "InvalidArgument"), ("pattern", "SELECT 'p' LIKE ANY ('p', 'q')", "Unimplemented"), ("pattern", "SELECT REGEXP_CONTAINS('p', '(?=p)')", "InvalidArgument"), ("type", "SELECT NUMERIC '2'", "Unimplemented"), ("type", "SELECT CAST(2 AS NUMERIC)", "Unimplemented"), ("type", "SELECT CAST('p' AS STRING(4))", "Unimplemented"),
+    ("order", "SELECT _key FROM ev ORDER BY cf['type']", "InvalidArgument"), ("order", "SELECT 2 OFFSET 2", "InvalidArgument"), ("name", "SELECT ev FROM ev", "Unimplemented"), ("name", "SELECT nope FROM ev", "InvalidArgument"), ("name", "SELECT 2 FROM nowhere", "NotFound"), ("name", "SELECT NO_SUCH(2)", "InvalidArgument"), ("type", "SELECT 2 + 'p'", "InvalidArgument"), ("hint", "@{fast=true} SELECT 2", "Unimplemented"), ("time", "SELECT TIMESTAMP_SECONDS(2) - TIMESTAMP_SECONDS(1)", "Unimplemented"),
+    ("argument", "SELECT _key FROM ev(latest_n => 2)", "InvalidArgument"), ("argument", "SELECT _key FROM ev(before => TIMESTAMP_SECONDS(2))", "InvalidArgument"), ("nesting", "SELECT " + "(" * 400 + "2" + ")" * 400, "InvalidArgument"),
+]
+
+
+def turned_away(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every statement with the error that it gets."""
+    made, found = catalog(spark, sf_dir), []
+    for group, sql, _ in TURNED_AWAY:
+        try:
+            run(spark, made, sql)
+            found.append((group, sql, "none"))
+        except WideleafError as e:
+            found.append((group, sql, type(e).__name__))
+    return spark.createDataFrame(found, "kind string, statement string, error string")
+
+
 _PARAMS = {"sql_parameters": {"low": b"u000010", "cents": 4000}}
 
 
@@ -76,8 +101,10 @@ def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _query(name) for name in SELECTS}
+    return {name: _query(name) for name in SELECTS} | {"sql_turned_away": turned_away}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: f"WITH {_SOURCES}{sql}" for name, (_, sql) in SELECTS.items() if sql}
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    listed = ", ".join(f"({', '.join(map(quoted, row))})" for row in TURNED_AWAY)
+    return {name: f"WITH {_SOURCES}{sql}" for name, (_, sql) in SELECTS.items() if sql} | {"sql_turned_away": f"SELECT * FROM (VALUES {listed}) AS v(kind, statement, error)"}
