@@ -5,7 +5,8 @@ sizes' length, one size apart, hold any place of such a length whole.  A window
 similarity to it of at least 1/4 (1/8 in the smallest size, where m may be 1); with ``BANDS`` bands of one row a
 template is retrieved with 1 - (3/4)^64 > 1 - 1e-7 (1 - (7/8)^64 > 0.9998).  Then shingles are compared exactly:
 a match is a template of which ``CONTAINED`` or more of the shingles are in a stretch of the window that repeats none of them, and its span is
-the shortest that holds them; a window may hold several.  A template of fewer than ``WORDS`` words is one whole
+the shortest that holds them; a window may hold several.  Of templates that differ in a few words only the fullest is listed: a match
+goes if another template's covers more than half of it and holds more.  A template of fewer than ``WORDS`` words is one whole
 shingle of its own length, and is found wherever these words stand.
 
 Defined results: a null or empty text holds no license; templates without words are rejected; a template found in several windows is listed once for each stretch of overlapping spans; equal rows are
@@ -41,6 +42,17 @@ TEMPLATES = {
     "ISC-permission": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "MIT-disclaimer": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "BSD-disclaimer": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "BSD-3-endorsement": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "Zlib-permission": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "BSL-1.0-permission": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    "LGPL-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "EPL-2.0-header": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "PostgreSQL-permission": "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies.",
+    "CC-BY-SA-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC0-1.0-notice": "has waived all copyright and related or neighboring rights to this work",
     "rights-reserved": "All rights reserved. No part of this publication may be reproduced without permission.",
     "rights-reserved-notice": "All rights reserved.",
 }
@@ -210,11 +222,21 @@ def _scan(batch_words: list[list[bytes]], scanner: Scanner) -> list[list[dict]]:
                     if a >= free:
                         free = a + size
                         found.append({"license": name, "first_word": a, "last_word": free - 1, "containment": 1.0})
+    out = [_fullest(found) for found in out]
     for found in out:
         found.sort(key=lambda x: (x["first_word"], x["license"]))
     return out
 
 
+def _fullest(found: list[dict]) -> list[dict]:
+    """Without the matches of which another template's match covers more than half and holds more."""
+    def covered(x: dict) -> bool:
+        size = x["last_word"] - x["first_word"] + 1
+        return any(y["license"] != x["license"] and y["containment"] > x["containment"] and 2 * (min(x["last_word"], y["last_word"]) - max(x["first_word"], y["first_word"]) + 1) > size for y in found)
+
+    return [x for x in found if not covered(x)] if len(found) > 1 else found
+
+
 _scanner: list[Scanner] = []
 
 
