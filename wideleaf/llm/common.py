@@ -9,6 +9,7 @@ import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import reduce
 from pathlib import Path
 
 import pyarrow as pa
@@ -46,7 +47,7 @@ def spool_path(spark: SparkSession, name: str) -> str:
 
 def write(df: DataFrame, path: str) -> None:
     """A writer holds a row group in memory: of texts, smaller ones than Parquet's own 128 MiB will do."""
-    df.write.option("parquet.block.size", 32 << 20).parquet(path)
+    df.write.option("parquet.block.size", 32 << 20).option("compression", "zstd").parquet(path)
 
 
 def spool(df: DataFrame, name: str) -> DataFrame:
@@ -85,20 +86,43 @@ def sweeping(spark: SparkSession) -> Iterator[None]:
             _spooled.remove(path)
 
 
-def attach(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", *, weight: str = "n", cost: Column | None = None, most: int = 16_384) -> DataFrame:
+#: A sieve has 2**SIEVE_BITS bits, in bitmaps of 2**15 (what a bitmap of Spark's holds): 8 MiB.
+SIEVE_BITS = 26
+
+
+def sieved(left: DataFrame, right: DataFrame, keys: list[str], flag: str) -> DataFrame:
+    """``left`` with ``flag``: false only where no row of ``right`` has the key.  ``right``'s keys are hashed to bits, at most 2048 rows of
+    4 KiB, which are broadcast: so few rows that have no partner need to be shuffled."""
+    place = F.shiftrightunsigned(F.xxhash64(*keys), 64 - SIEVE_BITS)
+    bits = right.select(place.alias("p")).groupBy(F.shiftright("p", 15).alias("_bucket")).agg(F.bitmap_construct_agg(F.col("p") % (1 << 15)).alias("_bits"))
+    inside = place % (1 << 15)
+    placed = left.withColumns({"_bucket": F.shiftright(place, 15), "_inside": inside}).join(F.broadcast(bits), "_bucket", "left")
+    byte = "cast(conv(hex(substring(_bits, cast(_inside div 8 as int) + 1, 1)), 16, 10) as int)"
+    return placed.withColumn(flag, F.expr(f"coalesce(shiftright({byte}, cast(_inside % 8 as int)) & 1 = 1, false)")).drop("_bucket", "_inside", "_bits")
+
+
+def attach(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", *, weight: str = "n", cost: Column | None = None, most: int = 1024) -> DataFrame:
     """``left`` joined with ``right``, a table with one row for each key and in ``weight`` how many rows of ``left`` have it.
 
-    ``right`` is broadcast only if it has ``most`` rows or fewer (or its rows cost no more together).  Beyond, keys that hold a 4096th of the rows or more, which
-    are 4096 at most, are broadcast, so that none of them ends up in one task; the other keys are shuffled.  Both tables
-    are read more than once and must not change between: spool them first."""
+    ``right`` is broadcast only if it has ``most`` rows or fewer (or its rows cost no more together).  Beyond, rows of ``left``
+    that a sieve tells to have no partner stay where they are; keys that hold a 4096th of the rows or more, which are 4096
+    at most, are broadcast, so that none of them ends up in one task; and only the others are shuffled.  Both tables are read
+    more than once and must not change between: spool them first."""
     size, total = right.agg(F.coalesce(F.sum(F.lit(1) if cost is None else cost), F.lit(0)), F.coalesce(F.sum(weight), F.lit(0))).first()
     if size <= most:
         return left.join(F.broadcast(right), keys, how)
     limit = total / 4096
     hot = right.where(F.col(weight) >= limit)
-    first = left.join(F.broadcast(hot), keys, "left_semi" if how == "left_semi" else "inner")
-    others = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.where(F.col(weight) < limit), keys, how)
-    return first.unionByName(others)
+    told = sieved(left, right, keys, "_maybe")
+    maybe = told.where("_maybe").drop("_maybe")
+    parts = [
+        maybe.join(F.broadcast(hot), keys, "left_semi" if how == "left_semi" else "inner"),
+        maybe.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.where(F.col(weight) < limit), keys, how),
+    ]
+    if how == "left":
+        alone = told.where("not _maybe").drop("_maybe")
+        parts.append(alone.select(*[F.lit(None).cast(right.schema[c].dataType).alias(c) if c not in left.columns else F.col(f"`{c}`") for c in parts[1].columns]))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def ship(spark: SparkSession) -> None:

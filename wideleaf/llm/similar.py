@@ -319,7 +319,7 @@ def classes(docs: DataFrame, columns: list[str]) -> Classes:
     coarse = spool(_coarse(nodes), "coarse")
     sizes = spool(coarse.groupBy("label").agg(F.count("*").alias("n")), "sizes")
     members = spool(attach(coarse, sizes, ["label"], "inner").join(nodes.select("node", "copies"), "node").withColumn("one", F.lit(1)), "members")
-    texts = attach(sketched.select(F.col("rid").alias("node"), F.col("row.text").alias("text")), members, ["node"], "inner", weight="one", most=200_000)
+    texts = attach(sketched.select(F.col("rid").alias("node"), F.col("row.text").alias("text")), members, ["node"], "inner", weight="one")
     dealt = _in_blocks(texts.select("label", "n", "node", "copies", "text"), "label", BLOCK)
     counted = spool(map_batches(dealt.repartition("path").sortWithinPartitions("path"), _exact_links, "node long, links long, low long"), "counted")
     linked = counted.groupBy("node").agg(F.sum("links").alias("links"))
