@@ -147,13 +147,26 @@ def _ordered(b: B.Binder, name: str, vs: list[B.Value], given: dict, distinct: b
         raise InvalidArgument("STRING_AGG takes STRING or BYTES")
     order = given.get("order", ((),))[0]
     keys = [b.bind(o[0]) for o in order]
-    rows = F.collect_list(F.struct(*[k.strict().alias(f"k{i}") for i, k in enumerate(keys)], F.col("_ord").alias("o"), x.alias("x")))
+    marked = name == "STRING_AGG" and len(vs) > 1 and not vs[1].literal
+    if marked and distinct:
+        raise Unimplemented("DISTINCT texts with a delimiter of each row")
+    mark_of = [vs[1].strict().alias("d")] if marked else []
+    rows = F.collect_list(F.struct(*[k.strict().alias(f"k{i}") for i, k in enumerate(keys)], F.col("_ord").alias("o"), x.alias("x"), *mark_of))
     found = F.array_sort(rows, _before([(o[1], o[2]) for o in order]))
     if "limit" in given:
         n = b.bind(given["limit"][0])
         if not n.literal or not isinstance(n.const, int) or n.const < 0:
             raise InvalidArgument("LIMIT needs a constant that isn't negative")
         found = F.slice(found, 1, n.const)
+    if marked:
+        # The delimiter is that of the first text taken, and one without a delimiter isn't taken first.
+        found = F.filter(found, lambda e: e["x"].isNotNull())
+        first = F.array_position(F.transform(found, lambda e: e["d"].isNotNull()), True)
+        found = F.when(first > 0, F.slice(found, F.greatest(first, F.lit(1)).cast("int"), F.greatest(F.array_size(found), F.lit(1)))).otherwise(F.slice(found, 1, 0))
+        latin = (lambda c: B.latin(c)) if isinstance(kind, T.BinaryType) else (lambda c: c)
+        text = F.array_join(F.transform(found, lambda e: latin(e["x"])), "\0")
+        text = F.replace(text, F.lit("\0"), latin(F.get(found, F.lit(0))["d"]))
+        return F.when(F.array_size(found) > 0, F.encode(text, "ISO-8859-1") if isinstance(kind, T.BinaryType) else text), kind
     found = F.transform(found, lambda e: e["x"])
     skips = name != "ARRAY_AGG" or distinct or given.get("nulls") == ("IGNORE",)
     if skips:

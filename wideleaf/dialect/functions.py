@@ -257,11 +257,22 @@ def _one_group(p: str) -> int:
     return n
 
 
-fn("REGEXP_CONTAINS", "XX")(lambda v, p: bytewise(lambda x: x.rlike(_pattern(p)), back=False)(v))
+def _by_row(kind: str, v: Value, p: Value, *more: Value, back: bool = True, groups: int | None = None):
+    """A function of a pattern that comes with the row; a bad pattern is an error of evaluation."""
+    udf = codecs.regexp_by_row(kind)
+    count = codecs.pattern_groups(B.latin(p.col) if isinstance(p.type, T.BinaryType) else p.col)
+    return bytewise(lambda *xs: udf(*xs), back=back)(v, p, *more)[0], F.coalesce((count < 0) if groups is None else (count < 0) | (count > groups), F.lit(False))
+
+
+@fn("REGEXP_CONTAINS", "XX")
+def _regexp_contains(v: Value, p: Value):
+    return _by_row("contains", v, p, back=False) if not p.literal else bytewise(lambda x: x.rlike(_pattern(p)), back=False)(v)
 
 
 @fn("REGEXP_EXTRACT REGEXP_SUBSTR", "XX", "XXI", "XXII")
 def _regexp_extract(v: Value, p: Value, at: Value | None = None, n: Value | None = None):
+    if not p.literal and at is None:
+        return _by_row("extract", v, p, groups=1)
     pattern = _pattern(p)
     group = _one_group(pattern)
     if at is None:
@@ -272,11 +283,27 @@ def _regexp_extract(v: Value, p: Value, at: Value | None = None, n: Value | None
     return bytewise(lambda x: udf(x, F.greatest(at.col, F.lit(1)), nth))(v)[0], bad
 
 
-fn("REGEXP_EXTRACT_ALL", "XX")(lambda v, p: F.transform(F.regexp_extract_all(B.latin(v.col), F.lit(_pattern(p)), _one_group(_pattern(p))), lambda e: F.encode(e, "ISO-8859-1")) if isinstance(v.type, T.BinaryType) else F.regexp_extract_all(v.col, F.lit(_pattern(p)), _one_group(_pattern(p))))
+@fn("REGEXP_EXTRACT_ALL", "XX")
+def _regexp_extract_all(v: Value, p: Value):
+    binary = isinstance(v.type, T.BinaryType)
+    back = lambda c: F.transform(c, lambda e: F.encode(e, "ISO-8859-1")) if binary else c
+    if not p.literal:
+        found, bad = _by_row("all", v, p, back=False, groups=1)
+        return back(found), bad
+    pattern = _pattern(p)
+    return back(F.regexp_extract_all(B.latin(v.col) if binary else v.col, F.lit(pattern), _one_group(pattern)))
 
 
 @fn("REGEXP_REPLACE", "XXX")
 def _regexp_replace(v: Value, p: Value, r: Value):
+    if not (p.literal and r.literal):
+        # A backslash must name a group that there is, or stand for itself.
+        plain = B.latin(r.col) if isinstance(r.type, T.BinaryType) else r.col
+        count = codecs.pattern_groups(B.latin(p.col) if isinstance(p.type, T.BinaryType) else p.col)
+        named = F.regexp_extract_all(F.regexp_replace(plain, r"\\\\", ""), F.lit(r"(?s)\\(.?)"), 1)
+        wrong = F.array_max(F.transform(named, lambda x: F.when(x.rlike("^[0-9]$"), F.when(x.rlike("^[0-9]$"), x).cast("long")).otherwise(99))) > count
+        made, bad = _by_row("replace", v, p, r)
+        return made, bad | F.coalesce(wrong, F.lit(False))
     pattern, to = _pattern(p), _need(r, "a replacement")
     to = to.decode("latin-1") if isinstance(to, bytes) else to
     groups = _groups(pattern)
@@ -404,8 +431,16 @@ def _div(a: Value, b: Value):
     return F.call_function("div", F.when(bad, 0).otherwise(a.col), F.when(bad, 1).otherwise(b.col)), bad
 
 
-fn("ROUND", "F", "FI")(lambda v, d=None: F.round(v.col, int(_need(d, "the digits")) if d is not None else 0))
-fn("TRUNC", "F", "FI")(lambda v, d=None: S.trunc(v.col, int(_need(d, "the digits")) if d is not None else 0))
+@fn("ROUND", "F", "FI")
+def _round(v: Value, d: Value | None = None):
+    return codecs.rounded("ROUND_HALF_UP")(v.col, d.col) if d is not None and not d.literal else F.round(v.col, int(_need(d, "the digits")) if d is not None else 0)
+
+
+@fn("TRUNC", "F", "FI")
+def _trunc(v: Value, d: Value | None = None):
+    return codecs.rounded("ROUND_DOWN")(v.col, d.col) if d is not None and not d.literal else S.trunc(v.col, int(_need(d, "the digits")) if d is not None else 0)
+
+
 _whole = lambda f: cols(lambda x: F.when(F.abs(x) >= 2.0**53, x).when(F.isnan(x), x).otherwise(f(F.when(F.abs(x) < 2.0**53, x)).cast("double")))
 fn("CEIL CEILING", "F")(_whole(F.ceil))
 fn("FLOOR", "F")(_whole(F.floor))

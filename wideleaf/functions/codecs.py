@@ -5,6 +5,8 @@ from __future__ import annotations
 import base64
 import json
 import re
+from decimal import Context, Decimal
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -12,6 +14,7 @@ import regex
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wideleaf.errors import InvalidArgument
 from wideleaf.functions import patterns
 
 TEXT, BYTES, INT, TEXTS = T.StringType(), T.BinaryType(), T.LongType(), T.ArrayType(T.StringType())
@@ -108,6 +111,72 @@ def regexp_nth(pattern: str, result: str):
     return udf
 
 
+@lru_cache(maxsize=2000)
+def _compiled(pattern: str):
+    """A pattern that comes with a row; None if it is none."""
+    try:
+        return regex.compile(patterns.python(patterns.translate(pattern)[0]))
+    except (InvalidArgument, regex.error):
+        return None
+
+
+@F.pandas_udf(T.LongType())
+def pattern_groups(p: pd.Series) -> pd.Series:
+    """How many groups a pattern captures; -1 if it is none."""
+    return pd.Series([None if x is None else -1 if (c := _compiled(x)) is None else c.groups for x in p], dtype="Int64")
+
+
+def regexp_by_row(kind: str):
+    """A UDF of text and pattern (and replacement): whether it is found (``contains``), the first match or its group (``extract``),
+    all of them (``all``), or the text with them replaced (``replace``)."""
+
+    def one(t, p, *to):
+        found = None if t is None or p is None or None in to else _compiled(p)
+        if found is None:
+            return None
+        if kind == "contains":
+            return found.search(t) is not None
+        if kind == "extract":
+            m = found.search(t)
+            return m and m[1 if found.groups else 0]
+        if kind == "all":
+            return [m[1 if found.groups else 0] or "" for m in found.finditer(t)]
+        made = re.sub(r"\\(\\|\d)", lambda m: "\0" if m[1] == "\\" else f"\1{m[1]}", to[0])
+        pieces = re.split("\1(\\d)", made)
+        return found.sub(lambda m: "".join((m[int(x)] or "") if k % 2 else x for k, x in enumerate(pieces)).replace("\0", "\\"), t)
+
+    if kind == "replace":
+
+        @F.pandas_udf(TEXT)
+        def udf(s: pd.Series, p: pd.Series, to: pd.Series) -> pd.Series:
+            return pd.Series([one(*r) for r in zip(s, p, to)], dtype="object")
+
+    else:
+
+        @F.pandas_udf({"contains": T.BooleanType(), "extract": TEXT, "all": TEXTS}[kind])
+        def udf(s: pd.Series, p: pd.Series) -> pd.Series:
+            return pd.Series([one(*r) for r in zip(s, p)], dtype="object")
+
+    return udf
+
+
+def rounded(how: str):
+    """A UDF of a double and digits, which may differ by row."""
+
+    @F.pandas_udf(T.DoubleType())
+    def udf(x: pd.Series, n: pd.Series) -> pd.Series:
+        def one(v, d):
+            if pd.isna(d) or v is None:
+                return None
+            if v != v or v in (float("inf"), float("-inf")) or d > 340:
+                return v
+            return float(Decimal(repr(float(v))).quantize(Decimal(1).scaleb(-int(d)), how, Context(prec=1000))) if d > -340 else 0.0
+
+        return pd.Series([one(*r) for r in zip(x, n)], dtype="float64")
+
+    return udf
+
+
 _STEP = re.compile(r"""\.([A-Za-z_]\w*)|\[(\d+)\]|\[(?:'([^']*)'|"([^"]*)")\]|\.(?:'([^']*)'|"([^"]*)")""")
 
 

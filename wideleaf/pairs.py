@@ -32,6 +32,10 @@ PAIRS: dict[str, list[tuple[str, str]]] = {
         ("REGEXP_CONTAINS({P}, '^[1-3]')", "regexp_matches(p, '^[1-3]')"), ("REGEXP_SUBSTR({P}, '[[:upper:]]+')", "regexp_extract(p, '[A-Z]+')"), ("REGEXP_EXTRACT({P}, r'-(\\w)')", "regexp_extract(p, '-(\\w)', 1)"), ("ARRAY_TO_STRING(REGEXP_EXTRACT_ALL({P}, '[A-M]'), '.')", "array_to_string(regexp_extract_all(p, '[A-M]'), '.')"),
         ("REGEXP_REPLACE({P}, '[AEIOU]', '_')", "regexp_replace(p, '[AEIOU]', '_', 'g')"), ("REGEXP_REPLACE({P}, r'(\\d)-(.)', r'\\2:\\1')", "regexp_replace(p, '(\\d)-(.)', '\\2:\\1')"), ("REGEXP_INSTR({P}, '[A-Z]')", "3"), ("{P} LIKE '%E%'", "p LIKE '%E%'"), ("{P} NOT LIKE '_-H%'", "p NOT LIKE '_-H%'"), ("REGEXP_CONTAINS({P}, r'\\Q-\\E\\pL{{3}}$')", "regexp_matches(p, '-[A-Z]{{3}}$')"),
     ],
+    "by_row": [
+        ("REGEXP_CONTAINS({P}, CONCAT('^[', LEFT({P}, 1), '3]'))", "true"), ("REGEXP_EXTRACT({P}, CONCAT('(.)', RIGHT({P}, 1), '$'))", "substr(p, length(p) - 1, 1)"), ("ARRAY_LENGTH(REGEXP_EXTRACT_ALL({P}, IF({S} = 'F', '[A-M]', '[N-Z]')))", "len(regexp_extract_all(p, CASE WHEN s = 'F' THEN '[A-M]' ELSE '[N-Z]' END))"), ("REGEXP_REPLACE({P}, {S}, CONCAT('<', {S}, r'\\0>'))", "replace(p, s, '<' || s || s || '>')"),
+        ("ROUND({C} / 700, MOD({C}, 3))", "CASE c % 3 WHEN 0 THEN round(c / 700, 0) WHEN 1 THEN round(c / 700, 1) ELSE round(c / 700, 2) END"), ("TRUNC({C} / 700, 0 - MOD({C}, 2))", "CASE c % 2 WHEN 0 THEN trunc(c / 700) ELSE trunc(c / 7000) * 10 END"), ("IFERROR(CAST(REGEXP_CONTAINS({P}, CONCAT({S}, '(')) AS STRING), 'bad')", "'bad'"),
+    ],
     "codes": [
         ("TO_HEX(CAST({P} AS BYTES))", "lower(hex(p))"), ("CAST(FROM_HEX(TO_HEX(CAST({P} AS BYTES))) AS STRING)", "p"), ("TO_BASE64(CAST({P} AS BYTES))", "to_base64(encode(p))"), ("CAST(FROM_BASE64(TO_BASE64(CAST({P} AS BYTES))) AS STRING)", "p"), ("TO_BASE32(CAST({S} AS BYTES))", "CASE s WHEN 'F' THEN 'IY======' WHEN 'O' THEN 'J4======' ELSE 'KA======' END"),
         ("CAST(FROM_BASE32(TO_BASE32(CAST({P} AS BYTES))) AS STRING)", "p"), ("SAFE_CONVERT_BYTES_TO_STRING(CAST({P} AS BYTES))", "p"), ("TO_CODE_POINTS({S})[OFFSET(0)]", "unicode(s)"), ("CODE_POINTS_TO_STRING([65, 66 + MOD({C}, 10)])", "'A' || chr((66 + c % 10)::INT)"), ("TO_HEX(CODE_POINTS_TO_BYTES([255, 16 + MOD({C}, 10)]))", "'ff1' || (c % 10)"),

@@ -53,6 +53,7 @@ SELECTS: dict[str, tuple[str, str | None]] = {
     "sql_group_ordinal": (f"SELECT {_TYPE} AS event_type, MOD({_CENTS}, 3) AS r, COUNT(*) AS n, MIN({_TYPE}) AS same FROM ev GROUP BY 1, 2 HAVING COUNT(*) > 1", "SELECT t AS event_type, c % 3 AS r, count(*) AS n, min(t) AS same FROM ev GROUP BY 1, 2 HAVING count(*) > 1"),
     "sql_grouped_expression": (f"SELECT CONCAT({_TYPE}, '!') AS loud, SUM({_CENTS}) + COUNT(*) AS total, SUM({_CENTS}) AS cents FROM ev GROUP BY {_TYPE}", "SELECT t || '!' AS loud, CAST(sum(c) + count(*) AS BIGINT) AS total, CAST(sum(c) AS BIGINT) AS cents FROM ev GROUP BY t"),
     "sql_array_aggregates": (f"SELECT person, ARRAY_TO_STRING(ARRAY_CONCAT_AGG([{_TYPE}, 'x'] ORDER BY _key LIMIT 2), ',') AS both, ARRAY_LENGTH(ARRAY_AGG(NULLIF({_TYPE}, 'view') IGNORE NULLS)) AS others, STRING_AGG(DISTINCT {_TYPE} ORDER BY {_TYPE} DESC) AS types FROM ev GROUP BY person", "SELECT usr AS person, array_to_string(flatten(list([t, 'x'] ORDER BY k)[1:2]), ',') AS both, count(*) FILTER (WHERE t <> 'view') AS others, array_to_string(list(DISTINCT t ORDER BY t DESC), ',') AS types FROM ev GROUP BY 1"),
+    "sql_delimiters": (f"SELECT person, STRING_AGG({_TYPE}, CONCAT('<', LEFT({_TYPE}, 1), '>') ORDER BY _key LIMIT 3) AS t, STRING_AGG({_TYPE}, NULLIF({_TYPE}, 'view') ORDER BY _key LIMIT 2) AS u FROM ev GROUP BY person", "SELECT usr AS person, list_reduce(l[1:3], lambda a, b: a || '<' || left(l[1], 1) || '>' || b) AS t, CASE WHEN l[1] <> 'view' THEN list_reduce(l[1:2], lambda a, b: a || l[1] || b) WHEN len(l) > 1 AND l[2] <> 'view' THEN l[2] END AS u FROM (SELECT usr, list(t ORDER BY k) AS l FROM ev GROUP BY 1)"),
     "sql_null_order": (f"SELECT person, STRING_AGG(IFNULL(t, '-'), '' ORDER BY t NULLS LAST, _key LIMIT 4) AS last, STRING_AGG(IFNULL(t, '-'), '' ORDER BY t DESC NULLS FIRST, _key LIMIT 4) AS first FROM lettered GROUP BY person", "SELECT usr AS person, array_to_string(list(coalesce(t, '-') ORDER BY t NULLS LAST, k)[1:4], '') AS last, array_to_string(list(coalesce(t, '-') ORDER BY t DESC NULLS FIRST, k)[1:4], '') AS first FROM (SELECT usr, k, CASE WHEN t <> 'view' THEN left(t, 1) END AS t FROM ev) GROUP BY 1"),
     "sql_bits": (f"SELECT {_TYPE} AS event_type, BIT_AND({_CENTS} | 1) AS a, BIT_OR(MOD({_CENTS}, 64)) AS o, BIT_XOR({_CENTS}) AS x, LOGICAL_AND({_CENTS} > 100) AS every, LOGICAL_OR({_CENTS} > 9000) AS some FROM ev GROUP BY 1", "SELECT t AS event_type, bit_and(c | 1) AS a, bit_or(c % 64) AS o, bit_xor(c) AS x, bool_and(c > 100) AS every, bool_or(c > 9000) AS some FROM ev GROUP BY 1"),
     "sql_spreads": (f"SELECT {_TYPE} AS event_type, ROUND(STDDEV_POP({_CENTS}), 4) AS sp, ROUND(STDDEV_SAMP({_CENTS}), 4) AS ss, ROUND(VAR_SAMP({_CENTS}) / 1000000, 4) AS vs, ROUND(VARIANCE({_CENTS}) / 1000000, 4) AS v, ROUND(COVAR_POP({_CENTS}, MOD({_CENTS}, 7)), 3) AS cp, ROUND(COVAR_SAMP({_CENTS}, MOD({_CENTS}, 7)), 3) AS cs FROM ev GROUP BY 1", "SELECT t AS event_type, round(stddev_pop(c), 4) AS sp, round(stddev_samp(c), 4) AS ss, round(var_samp(c) / 1000000, 4) AS vs, round(var_samp(c) / 1000000, 4) AS v, round(covar_pop(c, c % 7), 3) AS cp, round(covar_samp(c, c % 7), 3) AS cs FROM ev GROUP BY 1"),
