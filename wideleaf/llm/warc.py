@@ -25,12 +25,14 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wideleaf.llm.common import map_batches, row_id, ship, spool_path
+from wideleaf.llm.common import map_batches, row_id, ship, sieved, spool_path
 
 MAGIC = b"\x1f\x8b\x08"
 _EMPTY = gzip.compress(b"", mtime=0)
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
+#: As many payloads, the most frequent ones, meet their first record by a broadcast.
+HOT = 4096
 
 
 def _record(kind: str, page: int | None, url: str | None, digest: str, size: int, refers: int | None, payload: bytes) -> bytes:
@@ -55,8 +57,15 @@ def write(pages: DataFrame, path: str, *, least: int = 100) -> None:
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     full = pages.select("page_id", F.col("url").cast("string").alias("url"), html.alias("payload"), row_id().alias("rid"))
     full = full.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload"))
-    firsts = full.where(F.col("size") >= least).groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id", "rid")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = full.join(firsts, "digest", "left").withColumn("again", F.col("first").isNotNull() & (F.col("first.rid") != F.col("rid")))
+    firsts = full.where(F.col("size") >= least).groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id", "rid")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    # Payloads stay where they are but for those that a sieve tells may stand elsewhere too; of these, the most frequent ones meet
+    # their first by a broadcast of as many rows, and only the others are shuffled.  All in one job, so a row has one rid.
+    told = sieved(full, firsts, ["digest"], "_maybe")
+    maybe, hot = told.where("_maybe").drop("_maybe"), firsts.orderBy(F.desc("n"), "digest").limit(HOT)
+    alone = told.where("not _maybe").drop("_maybe").withColumn("first", F.lit(None).cast(firsts.schema["first"].dataType))
+    frequent = maybe.join(F.broadcast(hot.drop("n")), "digest")
+    others = maybe.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(firsts.drop("n").hint("shuffle_merge"), "digest", "left")
+    joined = alone.unionByName(frequent).unionByName(others).withColumn("again", F.col("first").isNotNull() & (F.col("first.rid") != F.col("rid")))
     rows = joined.select("page_id", "url", "digest", "size", "again", F.when(F.col("again"), F.col("first.page_id")).alias("refers"), F.when(~F.col("again"), F.col("payload")).alias("payload"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
