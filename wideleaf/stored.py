@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from wideleaf.catalogue import _EV, _T15, _T20, _folder
 from wideleaf.dialect import results
+from wideleaf.errors import WideleafError
 from wideleaf.operators import collect, requests, rows, writes
 from wideleaf.operators import rowfilters as R
+from wideleaf.plans import views
 from wideleaf.sources import cells as C
-from wideleaf.store import Store
+from wideleaf.store import VIEWS_OF_TABLE, Store
+from wideleaf.streaming import changes
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -235,3 +238,43 @@ def families_altered(spark, sf_dir):
     store.drop_table("t", _T15)
     store.undelete_table("t", _T15 + 1)
     return store.sql("SELECT CAST(o['priority'] AS STRING) AS priority, COUNT(*) AS n FROM t WHERE extra IS NULL GROUP BY priority", ordered=False)
+
+
+#: What stores turn away: a name, and the error.
+REFUSED = [
+    ("a rule of 600 bytes", "InvalidArgument"), ("an age under a millisecond", "InvalidArgument"), ("a taken name", "AlreadyExists"), ("a view of nothing", "NotFound"), ("a view that can't be read", "InvalidArgument"), ("a sixth materialised view", "FailedPrecondition"), ("a materialised view with hints", "InvalidArgument"), ("a write beside the part", "PermissionDenied"),
+    ("a row of the part deleted", "PermissionDenied"), ("an unknown token", "InvalidArgument"), ("a known token", "none"), ("changes from the future", "InvalidArgument"), ("changes from too long ago", "OutOfRange"), ("a retention of a month", "InvalidArgument"), ("a backup that expired", "NotFound"), ("a table with views dropped", "FailedPrecondition"), ("a table brought back too late", "NotFound"), ("a table brought back in time", "none"),
+    ("a row limit below zero", "InvalidArgument"), ("rows of an empty prefix dropped", "InvalidArgument"), ("a rule for an unknown family", "InvalidArgument"),
+]
+
+
+@_query(f"SELECT * FROM (VALUES {', '.join(f'({chr(39)}{n.replace(chr(39), chr(39) * 2)}{chr(39)}, {chr(39)}{e}{chr(39)})' for n, e in REFUSED)}) AS v(request, error)")
+def store_refusals(spark, sf_dir):
+    """Limits and checks of stores, one after another on one table."""
+    store = _loaded(spark, "refusing", C.orders(spark, sf_dir).where("row_key < X'633030303031'"), {"o": "bytes"})
+    other = Store(spark, _folder(spark, "other"))
+    store.create_authorised("part", "t", [b"c000001#"], {"o": ([b"status"], [])})
+    store.backup("b", "t", _T20 + 1, _T20)
+    for k in range(VIEWS_OF_TABLE):
+        store.create_materialised(f"m{k}", "t", "SELECT _key, COUNT(*) AS n FROM t GROUP BY _key")
+    other.create_table("gone", {"f": "bytes"})
+    other.drop_table("gone", _T15)
+    one = spark.createDataFrame([(b"c000001#1",)], "row_key binary")
+    cell = {"op": "set", "family": "o", "qualifier": b"cents", "start_ts": 1000, "value": b"1"}
+    wide = collect.Union(tuple(collect.MaxVersions(300) for _ in range(200)))
+    log = store.changes_path("t")
+    tried = [
+        lambda: collect.survivors(store.cells("t"), {"o": wide}, _T20), lambda: other.create_table("q", {"f": "bytes"}, gc={"f": collect.MaxAge(10)}), lambda: store.create_table("t", {}), lambda: store.create_view("v", "SELECT 2 FROM nowhere"), lambda: store.create_view("v", "SELECT nope FROM t"),
+        lambda: store.create_materialised("more", "t", "SELECT _key, COUNT(*) AS n FROM t GROUP BY _key"), lambda: views.plan(spark, store._tables(), "@{allow_incomplete_view=true} SELECT _key, COUNT(*) AS n FROM t GROUP BY _key"), lambda: store.mutate("t", _entries(one, F.lit(0), cell), _T20, view="part"), lambda: store.mutate("t", _entries(one, F.lit(0), {"op": "del_row"}), _T20, view="part"),
+        lambda: store.is_consistent("t@999"), lambda: store.is_consistent(store.token("t")), lambda: changes.read(spark, log, start_us=_T20 + 1, now=_T20), lambda: changes.read(spark, log, start_us=_T15 - 4 * 86_400_000_000, now=_T20), lambda: changes.purge(spark, log, _T20, 30 * 86_400_000_000), lambda: store.restore("b", "new", _T20 + 1), lambda: store.drop_table("t", _T20),
+        lambda: other.undelete_table("gone", _T15 + 8 * 86_400_000_000), lambda: other.undelete_table("gone", _T15 + 1), lambda: rows.read_rows(store.cells("t"), limit=-1), lambda: store.drop_row_range("t", b"", _T20),
+        lambda: store.read_modify_write("t", spark.createDataFrame([(b"k", "nope", b"q", 0, b"v", None)], writes.RULES), _T20),
+    ]
+    found = []
+    for (name, _), f in zip(REFUSED, tried, strict=True):
+        try:
+            f()
+            found.append((name, "none"))
+        except WideleafError as e:
+            found.append((name, type(e).__name__))
+    return spark.createDataFrame(found, "request string, error string")
