@@ -170,6 +170,8 @@ class Transducer:
             return [whole]
         if len(self.keys) > self.max_states:
             self._forget()
+        if len(piece) <= CHUNK:  # one chunk: nothing can leave before its end
+            return self._back(states := self.run(0, piece), len(states))
         return [t for part in self.stream(piece[k : k + CHUNK] for k in range(0, len(piece), CHUNK)) for t in part]
 
     def stream(self, chunks: Iterable[bytes]) -> Iterator[list[int]]:
@@ -197,11 +199,13 @@ class Transducer:
             yield self._back(waiting, len(waiting))
 
     def _back(self, states: list[int], at: int) -> list[int]:
-        out = []
+        out, last, size = [], self.last, self.size
         while at > 0:
-            out.append(self.last[states[at - 1]])
-            at -= self.size[states[at - 1]]
-        return out[::-1]
+            state = states[at - 1]
+            out.append(last[state])
+            at -= size[state]
+        out.reverse()
+        return out
 
     def _depth(self, node: int) -> int:
         if not self._depths:

@@ -106,7 +106,8 @@ def attach(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left"
 
     ``right`` is broadcast only if it has ``most`` rows or fewer (or its rows cost no more together).  Beyond, rows of ``left``
     that a sieve tells to have no partner stay where they are; keys that hold a 4096th of the rows or more, which are 4096
-    at most, are broadcast, so that none of them ends up in one task; and only the others are shuffled.  Both tables are read
+    at most, are broadcast, so that none of them ends up in one task; and only the others are shuffled, in the same way at
+    any size.  Both tables are read
     more than once and must not change between: spool them first."""
     size, total = right.agg(F.coalesce(F.sum(F.lit(1) if cost is None else cost), F.lit(0)), F.coalesce(F.sum(weight), F.lit(0))).first()
     if size <= most:
@@ -117,7 +118,7 @@ def attach(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left"
     maybe = told.where("_maybe").drop("_maybe")
     parts = [
         maybe.join(F.broadcast(hot), keys, "left_semi" if how == "left_semi" else "inner"),
-        maybe.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.where(F.col(weight) < limit), keys, how),
+        maybe.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.where(F.col(weight) < limit).hint("merge"), keys, how),
     ]
     if how == "left":
         alone = told.where("not _maybe").drop("_maybe")

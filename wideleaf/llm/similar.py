@@ -241,7 +241,7 @@ def _coarse(nodes: DataFrame) -> DataFrame:
         parts.append(attach(level, one, ["path"], "inner").select("path", "n", "node"))
         spent += [sizes, one]
         if depth < DEEPEST:
-            large = attach(level, sizes.where(F.col("n") > SMALL).select("path", "n"), ["path"], "left_semi").join(nodes.select("node", "sketch"), "node")
+            large = attach(level, sizes.where(F.col("n") > SMALL).select("path", "n"), ["path"], "left_semi").join(nodes.select("node", "sketch").hint("merge"), "node")
             level = spool(map_batches(large, _splitting(depth), "path long, node long"), "paths")
             spent.append(level)
     buckets = parts[0]
@@ -249,7 +249,7 @@ def _coarse(nodes: DataFrame) -> DataFrame:
         buckets = buckets.union(p)
     buckets = spool(buckets, "buckets")
     # Sketches are joined before rows are copied to their pairs of blocks, so the join has a row per bucket and node.
-    dealt = _in_blocks(buckets.join(nodes.select("node", "sketch"), "node").withColumnRenamed("path", "bucket"), "bucket", 2 * BLOCK)
+    dealt = _in_blocks(buckets.join(nodes.select("node", "sketch").hint("merge"), "node").withColumnRenamed("path", "bucket"), "bucket", 2 * BLOCK)
     links = map_batches(dealt.select("path", "node", "sketch").repartition("path").sortWithinPartitions("path"), _bucket_links, "a long, b long")
     found = components(links)
     for x in (*spent, buckets):
@@ -318,13 +318,13 @@ def classes(docs: DataFrame, columns: list[str]) -> Classes:
     nodes = spool(sketched.where("sign is not null").groupBy("sign").agg(F.min("rid").alias("node"), F.count("*").alias("copies"), F.any_value("sketch").alias("sketch"), F.min(doc).alias("first")), "nodes")
     coarse = spool(_coarse(nodes), "coarse")
     sizes = spool(coarse.groupBy("label").agg(F.count("*").alias("n")), "sizes")
-    members = spool(attach(coarse, sizes, ["label"], "inner").join(nodes.select("node", "copies"), "node").withColumn("one", F.lit(1)), "members")
+    members = spool(attach(coarse, sizes, ["label"], "inner").join(nodes.select("node", "copies").hint("merge"), "node").withColumn("one", F.lit(1)), "members")
     texts = attach(sketched.select(F.col("rid").alias("node"), F.col("row.text").alias("text")), members, ["node"], "inner", weight="one")
     dealt = _in_blocks(texts.select("label", "n", "node", "copies", "text"), "label", BLOCK)
     counted = spool(map_batches(dealt.repartition("path").sortWithinPartitions("path"), _exact_links, "node long, links long, low long"), "counted")
     linked = counted.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(counted.select(F.col("node").alias("a"), F.col("low").alias("b")))
-    per_node = nodes.select("sign", "node", "copies", "first").join(linked, "node", "left").join(joined, "node", "left")
+    per_node = nodes.select("sign", "node", "copies", "first").join(linked.hint("merge"), "node", "left").join(joined.hint("merge"), "node", "left")
     own = spool(per_node.select("sign", "copies", "first", F.coalesce("label", "node").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("links")), "signs")
     whole = spool(own.groupBy("class").agg(F.min("first").alias("of_class"), F.sum("copies").alias("size"), F.count("*").alias("n")), "classes")
     signs = spool(attach(own, whole, ["class"], "inner").select("sign", "copies", "links", F.col("of_class").alias("first"), "size"), "signs")
