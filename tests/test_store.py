@@ -85,6 +85,16 @@ def test_tokens(spark):
     assert sorted((bytes(r.row_key), r.expire_us - NOW) for r in requests.remembered(got, NOW).collect()) == [(b"a", 900_000_000), (b"c", 900_000_000)]
 
 
+def test_a_write_is_applied_once(spark, store):
+    batch = lambda v: entries(spark, (0, 0, b"k", "set", "f", b"x", 1000, None, v), (1, 0, b"l", "set", "f", b"x", 1000, None, v), (2, 0, b"m", "set", "f", b"x", 1000, None, v))
+    tokens = spark.createDataFrame([(0, b"token-of-k"), (1, b"short")], "entry_no long, token binary")
+    status = lambda v, at: {r.entry_no: r.status.split(":")[0] for r in store.mutate("t", batch(v), at, tokens=tokens).collect()}
+    value = lambda: {bytes(r.row_key): bytes(r.value) for r in store.cells("t").where("row_key > X'6a'").collect()}
+    assert status(b"1", NOW) == {0: "OK", 1: "INVALID_ARGUMENT", 2: "OK"} and value() == {b"k": b"1", b"m": b"1"}
+    assert status(b"2", NOW + 1) == {0: "OK", 1: "INVALID_ARGUMENT", 2: "OK"} and value() == {b"k": b"1", b"m": b"2"}
+    assert status(b"3", NOW + requests.TOKEN_MICROS) == {0: "OK", 1: "INVALID_ARGUMENT", 2: "OK"} and value() == {b"k": b"3", b"m": b"3"}
+
+
 def test_dropped_rows(spark, store):
     store.drop_row_range("t", b"a#", NOW)
     assert {x[0] for x in keyed(store.cells("t"))} == {b"b#1"}

@@ -26,6 +26,7 @@ from wideleaf.streaming import changes
 CELLS = "row_key binary, family string, fam_order int, qualifier binary, ts long, value binary, seq long"
 #: How long a dropped table can be brought back, and how many materialised views there may be, in all and of a table.
 UNDELETE, VIEWS, VIEWS_OF_TABLE = 7 * 86_400_000_000, 50, 5
+_TOKENS = "row_key binary, token binary, expire_us long"
 #: Up to as many touched rows are told by a broadcast.
 TOUCHED = 1_000_000
 
@@ -223,15 +224,30 @@ class Store:
         t["version"] += 1
         self._save()
 
-    def mutate(self, name: str, entries: DataFrame, now: int, *, view: str | None = None) -> DataFrame:
-        """Apply the entries that are in order; entry_no, row_key and status of each."""
+    def mutate(self, name: str, entries: DataFrame, now: int, *, view: str | None = None, tokens: DataFrame | None = None) -> DataFrame:
+        """Apply the entries that are in order; entry_no, row_key and status of each.
+
+        An entry with a token (``tokens``: entry_no, token) that its row has seen in the last fifteen minutes was applied then; it is
+        in order and changes nothing."""
         t = self.table(name)
         if view is not None:
             self._check_view(name, view, entries)
-        statuses = requests.validate(entries, self._families(t))
-        good = entries.join(statuses.where("status = 'OK'").select("entry_no"), "entry_no", "left_semi")
+        statuses = requests.validate(entries, self._families(t)).withColumn("apply", F.lit(True))
+        kept, judged = self._folder(t, "tokens"), self._folder(t, f"judged-{self._number()}")
+        if tokens is not None:
+            seen = self.spark.read.schema(_TOKENS).parquet(kept) if folders.exists(self.spark, kept) else self.spark.createDataFrame([], _TOKENS)
+            asked = statuses.select("entry_no", "row_key").join(tokens.select("entry_no", "token"), "entry_no", "left")
+            told = requests.fresh(asked, seen, now).select("entry_no", "token", F.col("status").alias("of_token"))
+            bad = F.col("of_token").startswith("INVALID")
+            statuses = statuses.join(told, "entry_no").select("entry_no", "row_key", "token", F.when(bad, F.col("of_token")).otherwise(F.col("status")).alias("status"), (F.col("of_token") == "OK").alias("apply"))
+        # Written down first: what the tokens say must not be asked again once they are kept.
+        statuses.write.parquet(judged)
+        statuses = self.spark.read.schema(statuses.schema).parquet(judged)
+        good = entries.join(statuses.where("status = 'OK' and apply").select("entry_no"), "entry_no", "left_semi")
         self._write(name, requests.resolved(good, now, t["seq"]).select(*writes.MUTATIONS_COLUMNS), now)
-        return statuses
+        if tokens is not None:
+            requests.remembered(statuses.where("apply"), now).write.mode("append").parquet(kept)
+        return statuses.select("entry_no", "row_key", "status")
 
     def check_and_mutate(self, name: str, keys: DataFrame, predicate, on_true: DataFrame, on_false: DataFrame, now: int, *, view: str | None = None) -> DataFrame:
         """row_key, matched and status for each of ``keys``; see ``requests.check_and_mutate``."""
