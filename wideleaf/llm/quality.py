@@ -4,8 +4,8 @@ Every text gets integer metrics.  Per language and source, each metric is summed
 quantile sketch: counts of log-linear buckets that keep the top seven bits of a value, so a quantile is at most
 1/64 below the true one, merging is adding counts, and the result doesn't depend on how rows are dealt.
 Fences come from the sketch's quantiles alone: the third quartile and ``REACH`` times the distance of the quartiles, or the
-quantile that the metric names as its tail, whichever is further out.  So at most that tail of a group goes by a metric:
-a hundredth by word length (on either side), repeated lines and repeated words, 15 hundredths by symbols.  A metric that
+quantile that the metric names as its tail, whichever is further out.  So about that tail of a group, and the rest of its bucket, is
+the most that goes by a metric: a hundredth by word length (on either side), repeated lines and repeated words, 15 hundredths by symbols.  A metric that
 is 0 in nearly all of a group has the fence 0 there.  A group of fewer than ``least`` documents takes the quantiles of its
 language, or of all.  The fences are joined to the documents, and what lies outside goes.
 
