@@ -44,11 +44,11 @@ SELECTS: dict[str, tuple[str, str | None]] = {
     "sql_parameters": (f"SELECT {_KEY} FROM ev WHERE _key >= @low AND {_CENTS} > @cents", "SELECT k AS row_key FROM ev WHERE k >= 'u000010' AND c > 4000"),
     "sql_sketches": (f"SELECT {_TYPE} AS event_type, HLL_COUNT.EXTRACT(HLL_COUNT.INIT(person)) > 0 AS any, ABS(APPROX_COUNT_DISTINCT(person) - COUNT(DISTINCT person)) <= 0.05 * COUNT(DISTINCT person) AS near FROM ev GROUP BY event_type", "SELECT t AS event_type, true AS any, true AS near FROM ev GROUP BY 1"),
     "sql_structs": (f"SELECT {_KEY}, STRUCT({_TYPE} AS a, {_CENTS} AS b).b AS b, [1, {_CENTS}, 3][ORDINAL(2)] AS second, TO_JSON_STRING(STRUCT({_TYPE} AS t, {_CENTS} AS c)) AS json FROM ev", "SELECT k AS row_key, c AS b, c AS second, '{\"t\":\"' || t || '\",\"c\":' || c || '}' AS json FROM ev"),
-    "sql_no_source": ("SELECT 1 AS one, 'a' AS letter, [1, 2][OFFSET(1)] AS two", "SELECT 1 AS one, 'a' AS letter, 2 AS two"),
+    "sql_no_source": ("SELECT 1 AS one, 'a' AS letter, [1, 2][OFFSET(1)] AS two", "SELECT 1::BIGINT AS one, 'a' AS letter, 2::BIGINT AS two"),
     "sql_nested_query": (f"(SELECT {_KEY}, {_CENTS} AS cents FROM ev WHERE {_CENTS} > 3000) ORDER BY _key LIMIT 25", "SELECT k AS row_key, c AS cents FROM ev WHERE c > 3000 ORDER BY k LIMIT 25"),
     "sql_star": ("SELECT * EXCEPT (cents) REPLACE (UPPER(event_type) AS event_type) FROM all_events WHERE cents > 4000", "SELECT k::BLOB AS _key, upper(t) AS event_type FROM ev WHERE c > 4000"),
     "sql_range_star": (f"SELECT e.* EXCEPT (_key), CAST(e._key AS STRING) AS row_key FROM all_events AS e WHERE e.cents <= 100", "SELECT t AS event_type, c AS cents, k AS row_key FROM ev WHERE c <= 100"),
-    "sql_limit_zero": ("SELECT COUNT(*) AS n FROM nothing", "SELECT 0 AS n"),
+    "sql_limit_zero": ("SELECT COUNT(*) AS n FROM nothing", "SELECT 0::BIGINT AS n"),
     "sql_hints": (f"@{{allow_incomplete_view=true}} SELECT {_TYPE} AS event_type, COUNT(*) AS n FROM ev @{{allow_incomplete_view=true}} GROUP BY 1", "SELECT t AS event_type, count(*) AS n FROM ev GROUP BY 1"),
     "sql_group_ordinal": (f"SELECT {_TYPE} AS event_type, MOD({_CENTS}, 3) AS r, COUNT(*) AS n, MIN({_TYPE}) AS same FROM ev GROUP BY 1, 2 HAVING COUNT(*) > 1", "SELECT t AS event_type, c % 3 AS r, count(*) AS n, min(t) AS same FROM ev GROUP BY 1, 2 HAVING count(*) > 1"),
     "sql_grouped_expression": (f"SELECT CONCAT({_TYPE}, '!') AS loud, SUM({_CENTS}) + COUNT(*) AS total, SUM({_CENTS}) AS cents FROM ev GROUP BY {_TYPE}", "SELECT t || '!' AS loud, CAST(sum(c) + count(*) AS BIGINT) AS total, CAST(sum(c) AS BIGINT) AS cents FROM ev GROUP BY t"),
