@@ -248,7 +248,7 @@ class Utf8Machine:
 class Codec:
     """Texts to ids and back."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 80_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 300_000):
         self.transducer, self.pattern = Transducer(ranks), regex.compile(pattern)
         self.splits = pattern == GPT2_LIKE
         self.bytes_of = {str(r): b for b, r in ranks.items()}
@@ -269,9 +269,16 @@ class Codec:
                 self[piece] = ids
                 return ids
 
-        self.memo = Memo(lambda piece: " ".join(map(str, self.transducer.encode_piece(piece.encode("utf-8", "surrogatepass")))))
+        def one(piece: str) -> str:
+            return " ".join(map(str, self.transducer.encode_piece(piece.encode("utf-8", "surrogatepass"))))
+
+        def several(word: str) -> str:
+            pieces = self.pattern.findall(" " + word)
+            return one(pieces[0]) if len(pieces) == 1 else " ".join(map(self.memo.__getitem__, pieces))
+
+        self.memo = Memo(one)
         #: The same for what stands between single blanks, each with the blank before it.
-        self.words = Memo(lambda word: " ".join(map(self.memo.__getitem__, self.pattern.findall(" " + word))))
+        self.words = Memo(several)
 
     def encode_decimal(self, text: str) -> str:
         """The ids in decimal, joined by one space.
