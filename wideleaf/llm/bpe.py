@@ -158,9 +158,9 @@ class Transducer:
 
     def run(self, state: int, data: bytes) -> list[int]:
         """The states after each byte of ``data``."""
-        step, make, out = self.step, self._make, []
+        get, make, out = self.step.get, self._make, []
         for byte in data:
-            following = step.get(state << 8 | byte)
+            following = get(state << 8 | byte)
             state = make(state, byte) if following is None else following
             out.append(state)
         return out
