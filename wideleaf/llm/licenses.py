@@ -6,7 +6,7 @@ similarity to it of at least 1/4 (1/8 in the smallest size, where m may be 1); w
 template is retrieved with 1 - (3/4)^64 > 1 - 1e-7 (1 - (7/8)^64 > 0.9998).  Then shingles are compared exactly:
 a match is a template of which ``CONTAINED`` or more of the shingles are in a stretch of the window that repeats none of them, and its span is
 the shortest that holds them; a window may hold several.  Of templates that differ in a few words only the fullest is listed: a match
-goes if another template's covers more than half of it and holds more.  A template of fewer than ``WORDS`` words is one whole
+goes if one of another template shares more than three quarters of the words of both and holds more.  A template of fewer than ``WORDS`` words is one whole
 shingle of its own length, and is found wherever these words stand.
 
 Defined results: a null or empty text holds no license; templates without words are rejected; a template found in several windows is listed once for each stretch of overlapping spans; equal rows are
@@ -229,10 +229,18 @@ def _scan(batch_words: list[list[bytes]], scanner: Scanner) -> list[list[dict]]:
 
 
 def _fullest(found: list[dict]) -> list[dict]:
-    """Without the matches of which another template's match covers more than half and holds more."""
+    """Without the matches that share more than three quarters of their words, and of the other's, with one of another template that holds more."""
+
+    def size(a: int, b: int) -> int:
+        return b - a + 1
+
     def covered(x: dict) -> bool:
-        size = x["last_word"] - x["first_word"] + 1
-        return any(y["license"] != x["license"] and y["containment"] > x["containment"] and 2 * (min(x["last_word"], y["last_word"]) - max(x["first_word"], y["first_word"]) + 1) > size for y in found)
+        for y in found:
+            if y["license"] != x["license"] and y["containment"] > x["containment"]:
+                common = size(max(x["first_word"], y["first_word"]), min(x["last_word"], y["last_word"]))
+                if 4 * common > 3 * max(size(x["first_word"], x["last_word"]), size(y["first_word"], y["last_word"])):
+                    return True
+        return False
 
     return [x for x in found if not covered(x)] if len(found) > 1 else found
 
