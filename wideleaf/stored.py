@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wideleaf.catalogue import _EV, _T15, _T20, _folder
 from wideleaf.dialect import results
@@ -21,6 +24,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 _FAMILIES = requests.Families(("ev",))
+#: Fixed value: as many batches are written at once.
+_HELD = 1024
 
 
 def _key() -> Column:
@@ -212,10 +217,20 @@ def read_statistics(spark, sf_dir):
 
 @_query("SELECT row_key, status FROM (SELECT printf('c%06d#%08d', o_custkey, o_orderkey) AS row_key, o_orderstatus AS status FROM orders) ORDER BY row_key OFFSET 300")
 def result_resumed(spark, sf_dir):
-    """A result that is taken up again after 300 rows: the batches that follow, as rows."""
+    """A result that is taken up again after 300 rows: the batches that follow, as rows in their order.  The driver writes
+    them as they come and holds 16 MiB or so."""
     store = _loaded(spark, "resumed", C.orders(spark, sf_dir), {"o": "bytes"})
     result = store.sql("SELECT CAST(_key AS STRING) AS row_key, CAST(o['status'] AS STRING) AS status FROM t")
-    return spark.createDataFrame([r for b in results.stream(result, b"300", size=1 << 14) for r in b.rows()], result.schema)
+    path = _folder(spark, "resumed-rows")
+    schema = T.StructType([T.StructField("place", T.LongType()), *result.schema])
+    place, come = 300, results.stream(result, b"300", size=1 << 14)
+    while held := [b.table() for b in islice(come, _HELD)]:
+        table = pa.concat_tables(held)
+        table = table.add_column(0, "place", pa.array(range(place, place + len(table)), pa.int64()))
+        spark.createDataFrame(table, schema).write.mode("append").parquet(path)
+        place += len(table)
+    kept = spark.read.schema(schema).parquet(path) if place > 300 else spark.createDataFrame([], schema)
+    return kept.orderBy("place").drop("place")
 
 
 @_query("SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
