@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wideleaf.dialect import Catalog, Table, run
 from wideleaf.errors import InvalidArgument
 from wideleaf.functions import keys as K
+from wideleaf.functions import sketches
 from wideleaf.operators import writes
 from wideleaf.plans import views
 
@@ -79,3 +80,25 @@ def test_sketches(spark):
     values = spark.range(100).select(F.lit(b"r").alias("row_key"), F.lit("h").alias("family"), F.lit(b"q").alias("qualifier"), F.lit(0).cast("long").alias("ts"), (F.col("id") % 40).cast("string").cast("binary").alias("value"))
     once = writes.add_to_sketches(values.limit(0), values)
     assert writes.merge_sketches(once, once).select(F.hll_sketch_estimate("value")).first()[0] == 40
+
+
+def test_sketches_are_exact_while_few(spark):
+    table = lambda n: spark.range(n).select(F.col("id").cast("string").cast("binary").alias("row_key"), F.lit("f").alias("family"), F.lit(0).alias("fam_order"), F.lit(b"v").alias("qualifier"), F.lit(0).cast("long").alias("ts"), F.when(F.col("id") > 0, F.concat(F.lit("p"), F.col("id") % 9000)).otherwise("").cast("binary").alias("value"), F.lit(0).cast("long").alias("seq"))
+    view = lambda size: f"SELECT MOD(LENGTH(_key), 2) AS part, HLL_COUNT.INIT(CAST(f['v'] AS STRING), {size}) AS s FROM t GROUP BY 1"
+    count = lambda n, size, sql: tuple(run(spark, Catalog({"t": Table(table(n), {"f": "bytes"})}, views={"v": view(size)}), sql).first())
+    both = "SELECT HLL_COUNT.MERGE(s) AS a, HLL_COUNT.EXTRACT(HLL_COUNT.MERGE_PARTIAL(s)) AS b FROM v"
+    assert count(20000, 15, both) == (9001, 9001)
+    assert count(20000, 15, "SELECT HLL_COUNT.EXTRACT(HLL_COUNT.INIT(CAST(f['v'] AS STRING))) AS n FROM t") == (9001,)
+    a, b = count(20000, 10, both)  # more than the hashes that are kept at this precision
+    assert a == b and abs(a - 9001) < 0.15 * 9001
+
+
+def test_sketches_without_hashes(spark):
+    values = spark.range(6000).select(F.lit(b"r").alias("row_key"), F.lit("h").alias("family"), F.lit(b"q").alias("qualifier"), F.lit(0).cast("long").alias("ts"), F.col("id").cast("string").cast("binary").alias("value"))
+    plain = values.groupBy("row_key", "family", "qualifier", "ts").agg(F.hll_sketch_agg("value", F.lit(14)).alias("value"))
+    kept = writes.add_to_sketches(values.limit(0), values)
+    counts = lambda cells: cells.select(sketches.count(F.col("value")), F.hll_sketch_estimate("value")).first()
+    assert counts(kept)[0] == 6000 and counts(kept)[1] == counts(plain)[1]
+    assert counts(writes.merge_sketches(plain, kept)) == counts(writes.merge_sketches(plain, plain))
+    mixed = plain.unionByName(kept).agg(sketches.merged_count(F.col("value")).alias("n")).first().n
+    assert abs(mixed - 6000) < 0.05 * 6000

@@ -10,6 +10,7 @@ from wideleaf.dialect import binder as B
 from wideleaf.dialect.functions import AGGREGATES
 from wideleaf.errors import InvalidArgument, Unimplemented
 from wideleaf.functions import scalars as S
+from wideleaf.functions import sketches
 
 # Which aggregates take which modifiers.
 _DISTINCT = frozenset("ARRAY_AGG STRING_AGG COUNT SUM AVG MIN MAX BIT_AND BIT_OR BIT_XOR ANY_VALUE COUNTIF LOGICAL_AND LOGICAL_OR".split())
@@ -118,12 +119,12 @@ def bind(b: B.Binder, node: tuple) -> tuple[Column, T.DataType | None]:
                 raise InvalidArgument("sketches take INT64, STRING or BYTES")
             if precision > _MAX_PRECISION:
                 raise Unimplemented(f"sketches of a precision above {_MAX_PRECISION}")
-            return F.when(F.count(x) > 0, F.hll_sketch_agg(x, F.lit(precision))), B.BYTES
+            return F.when(F.count(x) > 0, sketches.sketch(x, kind, precision)), B.BYTES
         case "HLL_COUNT.MERGE" | "HLL_COUNT.MERGE_PARTIAL":
-            merged = F.hll_union_agg(B.assign(v, B.BYTES).strict(), F.lit(True))
+            x = B.assign(v, B.BYTES).strict()
             if name == "HLL_COUNT.MERGE":
-                return F.when(F.count(x) > 0, F.hll_sketch_estimate(merged)).otherwise(F.lit(0).cast("long")), B.INT
-            return F.when(F.count(x) > 0, merged), B.BYTES
+                return F.when(F.count(x) > 0, sketches.merged_count(x)).otherwise(F.lit(0).cast("long")), B.INT
+            return F.when(F.count(x) > 0, sketches.merge(x)), B.BYTES
         case "CORR":
             return S.corr(_numeric(v, name).strict(), _numeric(vs[1], name).strict()), B.FLOAT
         case "COVAR_POP" | "COVAR_SAMP":

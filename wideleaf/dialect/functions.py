@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from wideleaf.dialect import binder as B
 from wideleaf.dialect.binder import BOOL, BYTES, DATE, FLOAT, INT, STRING, TIME, Value
 from wideleaf.errors import InvalidArgument, Unimplemented
-from wideleaf.functions import codecs, patterns
+from wideleaf.functions import codecs, patterns, sketches
 from wideleaf.functions import scalars as S
 
 _PLAIN: dict = {}
@@ -731,7 +731,7 @@ def _json_text(x: Column, t: T.DataType) -> Column:
 
 
 fn("TO_JSON_STRING", "*")(lambda v: _json_text(v.col, v.type))
-fn("HLL_COUNT.EXTRACT", "B")(cols(lambda x: F.coalesce(F.hll_sketch_estimate(x), F.lit(0).cast("long"))))
+fn("HLL_COUNT.EXTRACT", "B")(cols(lambda x: F.coalesce(sketches.count(x), F.lit(0).cast("long"))))
 
 
 # -- times ---------------------------------------------------------------------------------------------------------------------

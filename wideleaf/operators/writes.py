@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from wideleaf.functions import sketches
 from wideleaf.sources.cells import COLUMNS
 
 MUTATIONS = "row_key binary, op string, family string, qualifier binary, start_ts long, end_ts long, value binary, seq long"
@@ -59,13 +61,13 @@ def aggregate(cells: DataFrame, added: DataFrame, how: str) -> DataFrame:
 def add_to_sketches(cells: DataFrame, added: DataFrame, precision: int = 14) -> DataFrame:
     """Cells of a sketch family after input values (``value`` BINARY) were added to them."""
     key = ["row_key", "family", "qualifier", "ts"]
-    return merge_sketches(cells, added.groupBy(*key).agg(F.hll_sketch_agg("value", F.lit(precision)).alias("value")))
+    return merge_sketches(cells, added.groupBy(*key).agg(sketches.sketch(F.col("value"), T.BinaryType(), precision).alias("value")))
 
 
 def merge_sketches(cells: DataFrame, added: DataFrame) -> DataFrame:
     """Cells of a sketch family after sketches were merged into them."""
     key = ["row_key", "family", "qualifier", "ts"]
-    return cells.select(*key, "value").unionByName(added.select(*key, "value")).groupBy(*key).agg(F.hll_union_agg("value", F.lit(True)).alias("value"))
+    return cells.select(*key, "value").unionByName(added.select(*key, "value")).groupBy(*key).agg(sketches.merge(F.col("value")).alias("value"))
 
 
 def big_endian(n):
